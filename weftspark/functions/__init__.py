@@ -1 +1,13 @@
+"""Column functions of the operators, in one place."""
 
+from weftspark.operators.corpus import content_type, estimate_tokens, shingles, words
+from weftspark.operators.evaluate import category, client_ip, instruction, overall, set_recall, source_recall, token_cost, valid_query
+from weftspark.operators.extract import needs_model, resolve_id
+from weftspark.operators.graph import label, relation
+from weftspark.operators.reports import area_report, cell_kind, die_area, frequency, power_report, sdc_variant, timing_report
+from weftspark.operators.search import overlap_score, terms
+
+__all__ = [
+    "area_report", "category", "cell_kind", "client_ip", "content_type", "die_area", "estimate_tokens", "frequency", "instruction", "label", "needs_model", "overall", "overlap_score", "power_report", "relation",
+    "resolve_id", "sdc_variant", "set_recall", "shingles", "source_recall", "terms", "timing_report", "token_cost", "valid_query", "words",
+]
