@@ -39,7 +39,7 @@ EXPONENTS = [("²", 2), ("³", 3), ("^2", 2), ("^3", 3), ("**2", 2), ("^-1", -1)
 #: What a reading loses for another letter case than the table's, and for a dimension that is not the field's.
 CASE_COST, DIMENSION_COST = 0.7, 6.0
 _SCALE = re.compile(
-    r"(?:[x×*]\s*)?(?P<mult>\d+(?:\.\d+)?)?(?:\s*[x×*]?\s*(?:e|10\s*\^?\s*|10\*\*)(?P<exp>[+\-−]\d+))?\s*[*·]?\s*", re.I
+    r"(?:[x×*]\s*)?(?:(?P<mult>\d+(?:\.\d+)?)(?![\d.]|\s*(?:\^|\*\*)))?(?:\s*[x×*]?\s*(?:e|10\s*\^\s*|10\s*\*\*\s*)(?P<exp>[+\-−]\d+))?\s*[*·]?\s*", re.I
 )
 
 
