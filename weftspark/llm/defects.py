@@ -122,6 +122,12 @@ def _unbalanced(text: str) -> bool:
     return bool(stack)
 
 
+#: Statements of the languages at hand, and what each ends with.
+_STATEMENTS = [
+    (r"create_clock\b|set_(?:false_path|multicycle_path|input_delay|output_delay|max_fanout|max_delay)\b", r"\]$"), (r"set_units\b", r"-\w+\s+\w+$"), (r"module\b|LAYER\b|SPACING\b|WIDTH\b", r";$"), (r"export\b", r"=\s*\S+$"), (r"set\s+::", r"\)\s+\S+$"), (r"slack\s*\(", r"\)\s+-?\d+(?:\.\d+)?$"), (r"error:", r"\)$"),
+]
+
+
 def _code_cut(code: str, evidence: str | None) -> bool:
     """Code, quoted after a colon or fenced, that stops before its end: a proper prefix of the evidence, an open bracket or quote, an option without value, half a number."""
     code = code.strip()
@@ -133,7 +139,9 @@ def _code_cut(code: str, evidence: str | None) -> bool:
         if ev in code:
             return False
     last = code.split("\n")[-1].strip()
-    return _unbalanced(code) or last.count('"') % 2 == 1 or bool(re.search(r"(?:^|\s)-\w*$|[=(\[{,\\]$|\d\.$|^-\d*$|::$", last)) or bool(re.match(r"^(?:create_clock|set_\w+|module|export|set)\b[^\[(=]*$", last) and not re.search(r"(?:=\s*\S+|\)\s+\S+|\]|;|\w\s+-?\w+\s+\S+)$", last))
+    if _unbalanced(code) or last.count('"') % 2 == 1 or re.search(r"(?:^|\s)-\w*$|[=(\[{,\\]$|\d\.$|^-\d*$|::$", last):
+        return True
+    return any(re.match(head, last) and not re.search(end, last) for head, end in _STATEMENTS)
 
 
 def is_truncated(answer: str, evidence: str | None) -> bool:

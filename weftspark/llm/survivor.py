@@ -81,7 +81,8 @@ def truth(triples: DataFrame, fields: tuple[str, ...] = ("subject_id", "object_i
     Ties go to the smaller value. Each round aggregates claims to (group, field, value) and to sources with
     partial results; only claims and reliabilities, both tables, pass from round to round.
     """
-    t = triples.where(" and ".join(f"{k} is not null" for k in KEYS)).withColumns({f"_{k}": loose(F.col(k)) for k in KEYS})
+    used = dict.fromkeys(["triple_id", *KEYS, *fields, "source_file", "extraction_tier", "confidence"])
+    t = triples.where(" and ".join(f"{k} is not null" for k in KEYS)).select(*used, *(loose(F.col(k)).alias(f"_{k}") for k in KEYS))
     big = t.groupBy(*(f"_{k}" for k in KEYS)).agg(F.count("*").alias("n"), F.min("triple_id").alias("group_id")).where("n > 1").drop("n")
     rows = t.join(big, [f"_{k}" for k in KEYS])
     source = F.concat_ws("|", F.coalesce(F.regexp_replace("source_file", r"/[^/]*$", ""), F.lit("?")), F.coalesce(F.col("extraction_tier").cast("string"), F.lit("?")))
