@@ -69,9 +69,9 @@ def chunk_code(docs: DataFrame, id_col: str, ext: Column, text: str = "text", bu
     parts = F.array(F.col(text))
     for exts, head in CODE_HEADS.values():
         parts = F.when(F.lower(ext).isin(exts), F.split(text, head)).otherwise(parts)
-    d = docs.where(F.col(text).isNotNull()).select(id_col, F.posexplode(F.filter(parts, lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")).alias("_s", "_x"))
+    d = docs.where(F.col(text).isNotNull()).select(id_col, F.posexplode_outer(F.filter(parts, lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")).alias("_s", "_x"))
     d = d.withColumn("_u", F.when(estimate_tokens(F.col("_x")) <= budget, F.array("_x")).otherwise(F.split("_x", "\n")))
-    d = _runs(d, "_u", budget, overlap).select(id_col, "_s", F.posexplode(F.transform("_runs", lambda r: F.array_join(_slice("_u", r), "\n"))).alias("_k", "_c"))
+    d = _runs(d, "_u", budget, overlap).select(id_col, "_s", F.posexplode_outer(F.transform("_runs", lambda r: F.array_join(_slice("_u", r), "\n"))).alias("_k", "_c"))
     sections = d.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_s", "_k", "_c"))).alias("a"))  # a document's own sections
     return number(sections.select(id_col, F.transform("a", lambda x: x["_c"]).alias("c")), id_col)
 
@@ -87,10 +87,10 @@ def chunk_log(docs: DataFrame, id_col: str, text: str = "text", budget: int = 25
         return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), x.alias("cur"))).otherwise(F.struct(acc["done"].alias("done"), both.alias("cur")))
 
     end = lambda acc: F.when(F.trim(F.regexp_replace(acc["cur"], r"\s", " ")) != "", F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-    d = d.withColumn("_m", F.aggregate("_u", start, merge, end)).select(id_col, F.posexplode("_m").alias("_s", "_x"))
+    d = d.withColumn("_m", F.aggregate("_u", start, merge, end)).select(id_col, F.posexplode_outer("_m").alias("_s", "_x"))
     d = d.withColumn("_u", F.when(estimate_tokens(F.col("_x")) > int(budget * 1.5), F.split("_x", "\n")).otherwise(F.array("_x")))
     # a fold with an overlap of 0 would still count the unit that broke it, so these lines have a fold of their own
-    d = d.select(id_col, "_s", F.posexplode(F.transform(_plain(F.col("_u"), budget), lambda r: F.array_join(_slice("_u", r), "\n"))).alias("_k", "_c"))
+    d = d.select(id_col, "_s", F.posexplode_outer(F.transform(_plain(F.col("_u"), budget), lambda r: F.array_join(_slice("_u", r), "\n"))).alias("_k", "_c"))
     sections = d.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_s", "_k", "_c"))).alias("a"))
     return number(sections.select(id_col, F.transform("a", lambda x: x["_c"]).alias("c")), id_col)
 
@@ -108,8 +108,8 @@ def _plain(units: Column, budget: int) -> Column:
 
 
 def number(chunked: DataFrame, id_col: str) -> DataFrame:
-    """chunk_index is the position before short chunks are dropped."""
-    c = chunked.select(id_col, F.posexplode("c").alias("chunk_index", "text"))
+    """chunk_index is the position before short chunks are dropped. Outer explosions keep Spark from inferring a filter on the array's size, which would compute it twice."""
+    c = chunked.select(id_col, F.posexplode_outer("c").alias("chunk_index", "text"))
     return c.where(F.length(F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))) >= 10).select(id_col, "chunk_index", estimate_tokens(F.col("text")).alias("token_count"), "text")
 
 

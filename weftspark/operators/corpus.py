@@ -48,7 +48,7 @@ def words(text: Column) -> Column:
 
 
 def shingles(w: Column, n: int = 5, least_one: bool = False) -> Column:
-    """Distinct runs of n words. Texts of fewer words have none, or, with least_one, themselves as the only one."""
+    """Distinct runs of n words of an array column (a column, not an expression: it is read at every position). Texts of fewer words have none, or, with least_one, themselves as the only one."""
     many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
     short = F.array(F.array_join(w, " ")) if least_one else F.array().cast("array<string>")
     return F.when(F.size(w) >= n, F.array_distinct(many)).otherwise(F.when(F.size(w) > 0, short).otherwise(F.array().cast("array<string>")))
@@ -62,9 +62,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     Prefix filter: shingles are ordered from the rarest on, and two sets that similar share one of their first
     |s| - ceil(threshold * |s|) + 1; frequent shingles are in prefixes only where a text has no others.
     """
-    s = docs.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(shingles(words(F.col(text)), n), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") > 0)
-    s = s.withColumn("s", F.array_sort("s")).withColumn("key", F.md5(F.array_join("s", ",")))
-    s = cut(s)
+    w = docs.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), words(F.col(text)).alias("w"))
+    s = w.select("id", F.transform(shingles(F.col("w"), n), lambda x: F.xxhash64(x)).alias("s"))
+    # filtered once it is stored: a filter on size(s) would be pushed below the projections and compute s at every position anew
+    s = cut(s.withColumn("s", F.array_sort("s"))).where(F.size("s") > 0).withColumn("key", F.md5(F.array_join("s", ",")))
     reps = s.groupBy("key").agg(F.min("id").alias("rep"))
     classes = s.join(reps, "key").select("id", "rep")
     r = s.join(reps, "key").where("id = rep").select("id", F.explode("s").alias("g"), F.size("s").alias("n"))
@@ -112,10 +113,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
 
 def contamination(corpus: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, item_text: str, threshold: float = 0.7, containment: bool = False) -> DataFrame:
     """(id, item_id, inter, uni): for each corpus row, its item of highest Jaccard (or containment of the item) of word 5-grams, if at least the threshold. Ties go to the smaller item id. Rows without words match nothing."""
-    it = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), shingles(words(F.col(item_text)), 5, True).alias("s"))
-    it = it.select("item_id", F.size("s").alias("ni"), F.explode("s").alias("g"))
-    c = corpus.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), shingles(words(F.col(text)), 5, True).alias("s"))
-    c = c.select("id", F.size("s").alias("nc"), F.explode("s").alias("g"))
+    it = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w")).select("item_id", shingles(F.col("w"), 5, True).alias("s"))
+    it = it.select("item_id", F.size("s").alias("ni"), F.explode_outer("s").alias("g"))
+    c = corpus.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text)).alias("w")).select("id", shingles(F.col("w"), 5, True).alias("s"))
+    c = c.select("id", F.size("s").alias("nc"), F.explode_outer("s").alias("g"))
     j = c.join(it, "g").groupBy("id", "nc", "item_id", "ni").agg(F.count("*").alias("inter"))
     j = j.withColumn("uni", F.col("ni").cast("long") if containment else F.col("nc") + F.col("ni") - F.col("inter"))
     best = j.where(F.col("inter") >= threshold * F.col("uni") - 1e-9).groupBy("id").agg(F.min(F.struct((-F.col("inter") / F.col("uni")).alias("r"), "item_id", "inter", F.col("uni").cast("long").alias("uni"))).alias("b"))

@@ -19,7 +19,7 @@ SETTING = r"export\s+(\w+)\s*=\s*(\S+)"
 def matches(df: DataFrame, id_col: str, text: str, pattern: str, groups: dict[str, int]) -> DataFrame:
     """(id, pos, groups): every match of the pattern in each text, numbered from 0. Null texts have none."""
     arrays = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for n, g in groups.items()))
-    m = df.where(F.col(text).isNotNull()).select(id_col, F.posexplode(arrays).alias("pos", "m"))
+    m = df.where(F.col(text).isNotNull()).select(id_col, F.posexplode_outer(arrays).alias("pos", "m")).where("pos is not null")
     return m.select(id_col, "pos", *(F.col(f"m.{n}").alias(n) for n in groups))
 
 

@@ -27,7 +27,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id
     vocab = maybe_broadcast(q.select("t").distinct())
     d = docs.select(F.col(doc_id).alias("did"), F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("w"))
     stats = d.agg(F.count("*").alias("N"), F.avg(F.size("w")).alias("avgdl"))
-    post = d.select("did", F.size("w").alias("dl"), F.explode("w").alias("t")).join(vocab, "t", "left_semi").groupBy("did", "dl", "t").agg(F.count("*").alias("tf"))
+    post = d.select("did", F.size("w").alias("dl"), F.explode_outer("w").alias("t")).join(vocab, "t", "left_semi").groupBy("did", "dl", "t").agg(F.count("*").alias("tf"))
     post = cut(post)
     df = post.groupBy("t").agg(F.count("*").alias("df"))
     w = post.join(df, "t").crossJoin(F.broadcast(stats))
