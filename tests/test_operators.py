@@ -191,6 +191,8 @@ def test_search(spark):
     assert set(top) == {1, 2, 4}
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.vid, r["rank"]) for r in search.dense(v, v.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    same = lambda b: rows(search.dense(v, v, 2, block=b))
+    assert same(1) == same(100) and len(same(1)) == 6
     c = spark.createDataFrame([("q", i, i, s) for i, s in enumerate([0.1, 0.9, 0.5], 1)], "qid string, did long, rank int, rerank_score double")
     assert [r.did for r in search.rerank(c, 2).orderBy("reranked_rank").collect()] == [2, 3]
     assert search.rerank(c.limit(0)).count() == 0

@@ -41,14 +41,24 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", query_id: str = "vec_id", where: Column | None = None) -> DataFrame:
-    """(query, vec, score, rank): top k by cosine. A stated query set against all rows: queries are broadcast if counted to be few, rows are read once and each task keeps its own best before the shuffle. A filter applies before the ranking. Null and zero vectors match nothing."""
+#: Queries that are broadcast at once; more go in blocks, one pass over the rows each.
+BLOCK = 20_000
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", query_id: str = "vec_id", where: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(query, vec, score, rank): top k by cosine. A stated query set against all rows: queries are broadcast in blocks of a counted size, and each task keeps its own best before the shuffle. A filter applies before the ranking. Null and zero vectors match nothing."""
     v = vectors if where is None else vectors.where(where)
     norm = lambda c: F.sqrt(dot(c, c))
     v = v.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("vid"), F.col(vec).alias("v")).withColumn("nv", norm("v")).where("nv > 0")
     q = queries.where(F.col(vec).isNotNull()).select(F.col(query_id).alias("qid"), F.col(vec).alias("q")).withColumn("nq", norm("q")).where("nq > 0")
-    s = v.join(maybe_broadcast(q, 20_000), F.col("vid") != F.col("qid")).select("qid", "vid", (dot("v", "q") / (F.col("nv") * F.col("nq"))).alias("score"))
-    return top_per_group(s, ["qid"], [F.round("score", 9).desc(), F.col("vid")], k)
+    blocks = max(1, -(-q.count() // block))
+    out = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        s = v.join(F.broadcast(part), F.col("vid") != F.col("qid")).select("qid", "vid", (dot("v", "q") / (F.col("nv") * F.col("nq"))).alias("score"))
+        top = top_per_group(s, ["qid"], [F.round("score", 9).desc(), F.col("vid")], k)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def _minmax(s: DataFrame) -> DataFrame:
