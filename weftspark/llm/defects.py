@@ -97,7 +97,7 @@ def is_copy(question: str | None, answer: str) -> bool:
 def is_refusal(answer: str) -> bool:
     """It declines in some sentence, and what else it says gives no help: only refusals, courtesies and sentences without anything technical."""
     text = answer.replace("’", "'")
-    if "```" in text or not _REFUSAL.search(text):
+    if "```" in text:
         return False
     sentences = [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
     declined = False
