@@ -112,8 +112,10 @@ def map_values(values: DataFrame, entities: DataFrame, threshold: float = THRESH
     values UNMATCHED; so do two entities that lie within the margin.
     """
     distinct = values.where("value is not null and kind is not null and trim(value) != ''").select("kind", "value").distinct()
+    distinct = cut(distinct)
     names = entities.select(F.col("entity_id"), "kind", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null and kind is not null")
     names = names.select("entity_id", "kind", _normal("name", "kind").alias("n")).select("entity_id", "kind", F.col("n.forms")[0].alias("name"), "n.numbers").distinct()
+    names = cut(names)
     total = names.groupBy("kind").agg(F.count("*").alias("names"))
     postings = names.withColumn("gram", F.explode(_grams("name")))
     weights = postings.groupBy("kind", "gram").agg(F.count("*").alias("df")).join(total, "kind").select("kind", "gram", F.log1p(F.col("names") / F.col("df")).alias("w"))
