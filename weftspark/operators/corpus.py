@@ -26,6 +26,12 @@ def content_type(path: Column) -> Column:
     return F.when(path.isNotNull(), out.otherwise("other"))
 
 
+def routed_type(path: Column, recorded: Column) -> Column:
+    """The content type a file is chunked by: its path's, and the recorded one only where the path tells nothing."""
+    by_path = content_type(path)
+    return F.when(by_path.isNull() | (by_path == "other"), F.coalesce(recorded, by_path)).otherwise(by_path)
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
 

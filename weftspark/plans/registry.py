@@ -160,7 +160,8 @@ def chunk_documentation(s, d):
 
 
 def _files(s: SparkSession, d: str, *kinds: str) -> DataFrame:
-    return table(s, d, "chunks").where(F.col("content_type").isin(*kinds)).select("chunk_id", "source_file", "text").distinct()
+    """Texts of all chunk rows whose file is of these kinds by its path; data files are cut like logs, as in the original."""
+    return table(s, d, "chunks").where(corpus.routed_type(F.col("source_file"), F.col("content_type")).isin(*kinds)).select("chunk_id", "source_file", "text").distinct()
 
 
 @query()
@@ -170,7 +171,7 @@ def chunk_code(s, d):
 
 @query()
 def chunk_log(s, d):
-    return chunking.chunk_log(_files(s, d, "log"), "chunk_id")
+    return chunking.chunk_log(_files(s, d, "log", "data"), "chunk_id")
 
 
 @query()
@@ -626,8 +627,7 @@ def audit_sample(s, d):
 
 @query()
 def injected_faults(s, d):
-    t = table(s, d, "chunks").where("content_type in ('code', 'source_code')").select("chunk_id", "source_file", "text").distinct()
-    return inject.inject(t, "chunk_id", "text", "source_file").select("chunk_id", "family", F.md5("injected").alias("injected_md5"), F.length("injected").alias("n"))
+    return inject.inject(_files(s, d, "code", "source_code"), "chunk_id", "text", "source_file").select("chunk_id", "family", F.md5("injected").alias("injected_md5"), F.length("injected").alias("n"))
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------
