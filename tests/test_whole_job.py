@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from weftspark.operators import chunking
 from weftspark.plans import registry
 
 CHUNK = "chunk_id string, source_file string, content_type string, text string"
@@ -30,3 +31,10 @@ def test_chunk_queries_route_by_path(spark, tmp_path):
     assert ids == {"chunk_code": {"d1", "d2", "v1", "v2", "n1", "m1"}, "chunk_log": {"l1", "l2", "l3", "j1"}, "injected_faults": {"d1", "d2", "v1", "v2", "n1", "m1"}}
     # .def files are cut at their heads; the second section is too short to stay
     assert {r.chunk_index for r in got["chunk_code"].where(F.col("chunk_id") == "d2").collect()} == {0, 2}
+
+
+def test_forum_chunks_hold_long_texts_whole(spark):
+    body, answer = ("".join(f"{w} number {i} holds. " for i in range(400)).strip() for w in ("Evidence", "Answer"))
+    qa = spark.createDataFrame([(1, "Why?", body, answer), (2, "Why?", None, "x" * 2500)], "id long, t string, b string, a string")
+    got = {i: "\n".join(r.text for r in chunking.chunk_forum(qa, "id", "t", "b", "a").where(F.col("id") == i).collect()) for i in (1, 2)}
+    assert all(f"{w} number {i} holds." in got[1] for w in ("Evidence", "Answer") for i in range(400)) and "x" * 2500 in got[2]

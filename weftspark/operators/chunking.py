@@ -114,8 +114,8 @@ def number(chunked: DataFrame, id_col: str) -> DataFrame:
 
 
 def chunk_forum(qa: DataFrame, id_col: str, title: str, body: str, answer: str, budget: int = 512) -> DataFrame:
-    """Q: title, body up to 1,500 characters and A: answer up to 2,000, one chunk if it fits, else packed by sentences."""
-    t = F.concat_ws("\n\n", F.concat(F.lit("Q: "), F.coalesce(title, F.lit(""))), F.nullif(F.substring(F.coalesce(body, F.lit("")), 1, 1500), F.lit("")), F.concat(F.lit("A: "), F.substring(F.coalesce(answer, F.lit("")), 1, 2000)))
+    """Q: title, body and A: answer, all of them whole (the original cuts body and answer off), one chunk if it fits, else packed by sentences."""
+    t = F.concat_ws("\n\n", F.concat(F.lit("Q: "), F.coalesce(title, F.lit(""))), F.nullif(F.coalesce(body, F.lit("")), F.lit("")), F.concat(F.lit("A: "), F.coalesce(answer, F.lit(""))))
     d = qa.select(id_col, t.alias("text"))
     small = d.where(estimate_tokens(F.col("text")) <= budget).select(id_col, F.lit(0).alias("chunk_index"), estimate_tokens(F.col("text")).alias("token_count"), "text")
     return small.unionByName(chunk_documentation(d.where(estimate_tokens(F.col("text")) > budget), id_col))
