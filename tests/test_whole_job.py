@@ -1,7 +1,9 @@
 """Queries and operators take in the whole of their input."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from weftspark.llm import survivor
 from weftspark.operators import chunking
 from weftspark.plans import registry
 
@@ -38,3 +40,20 @@ def test_forum_chunks_hold_long_texts_whole(spark):
     qa = spark.createDataFrame([(1, "Why?", body, answer), (2, "Why?", None, "x" * 2500)], "id long, t string, b string, a string")
     got = {i: "\n".join(r.text for r in chunking.chunk_forum(qa, "id", "t", "b", "a").where(F.col("id") == i).collect()) for i in (1, 2)}
     assert all(f"{w} number {i} holds." in got[1] for w in ("Evidence", "Answer") for i in range(400)) and "x" * 2500 in got[2]
+
+
+def test_truth_knows_files_and_all_fields_and_converges(spark):
+    data = []
+    for g in range(40):
+        # files of one folder; the bad one's errors sort first
+        for src, right in (("good", True), ("fair", g % 8 != 0), ("bad", g % 5 == 0)):
+            props = [{"b": "1", "a": "2"}, {"a": "2", "b": "1"}][g % 2] if right else {"a": src}
+            data.append((len(data), f"s{g}", "P", f"o{g}", None, None, 0.8 if right else {"fair": 0.7, "bad": 0.75}[src], f"x-right{g}" if right else f"wrong-{src}{g}", props, f"docs/{src}", 1))
+    t = spark.createDataFrame(data, "triple_id long, subject_id string, predicate string, object_id string, subject_label string, object_label string, confidence double, source_span string, properties map<string,string>, source_file string, extraction_tier int")
+    got = {}
+    for r in survivor.truth(t).collect():
+        got.setdefault(r.field, []).append(r.value)
+    assert set(got) == {"subject_id", "predicate", "object_id", "confidence", "source_span", "properties"}
+    assert all(v.startswith("x-right") for v in got["source_span"]) and set(got["properties"]) == {'{"a":"2","b":"1"}'} and set(got["confidence"]) == {"0.8"}
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        survivor.truth(t, rounds=1)

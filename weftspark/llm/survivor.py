@@ -71,12 +71,20 @@ def survivors(triples: DataFrame) -> DataFrame:
     return out.withColumnsRenamed({"record": "record_from", "source_span": "source_span_from", "properties": "properties_from"}).withColumnsRenamed({"source_span_value": "source_span", "properties_value": "properties"})
 
 
-def truth(triples: DataFrame, fields: tuple[str, ...] = ("subject_id", "object_id", "subject_label", "object_label", "source_span"), rounds: int = 8, tolerance: float = 1e-4) -> DataFrame:
+def _claimed(triples: DataFrame, f: str) -> Column:
+    """A field as the text that is claimed for it: maps in the order of their keys, null for empty maps and NaN."""
+    kind = triples.schema[f].dataType.typeName()
+    if kind == "map":
+        return F.when(F.size(f) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(f)))))
+    return F.when(~F.isnan(f), F.col(f).cast("string")) if kind in ("double", "float") else F.col(f).cast("string")
+
+
+def truth(triples: DataFrame, fields: tuple[str, ...] = ("subject_id", "predicate", "object_id", "subject_label", "object_label", "confidence", "source_span", "properties"), rounds: int = 500, tolerance: float = 1e-4) -> DataFrame:
     """(group_id, field, value, support, votes): the value of highest support per group and field, by truth discovery.
 
     A source is a source_file with an extraction tier; null files are one source. Its reliability starts at the mean
     confidence of its rows and is re-estimated as the smoothed share of support that its claims have, until no
-    reliability moves by more than the tolerance, or for so many rounds. A value's support is the sum of its
+    reliability moves by more than the tolerance; if that takes more rounds than given, an error is raised. A value's support is the sum of its
     claimants' reliabilities, -ln(1 - r), weighted by row confidence (0.5 where null). Nulls and blanks claim nothing.
     Ties go to the smaller value. Each round aggregates claims to (group, field, value) and to sources with
     partial results; only claims and reliabilities, both tables, pass from round to round.
@@ -85,21 +93,30 @@ def truth(triples: DataFrame, fields: tuple[str, ...] = ("subject_id", "object_i
     t = triples.where(" and ".join(f"{k} is not null" for k in KEYS)).select(*used, *(loose(F.col(k)).alias(f"_{k}") for k in KEYS))
     big = t.groupBy(*(f"_{k}" for k in KEYS)).agg(F.count("*").alias("n"), F.min("triple_id").alias("group_id")).where("n > 1").drop("n")
     rows = t.join(big, [f"_{k}" for k in KEYS])
-    source = F.concat_ws("|", F.coalesce(F.regexp_replace("source_file", r"/[^/]*$", ""), F.lit("?")), F.coalesce(F.col("extraction_tier").cast("string"), F.lit("?")))
-    claims = rows.select("group_id", source.alias("src"), F.coalesce(F.when(F.isnan("confidence"), None).otherwise(F.col("confidence")), F.lit(0.5)).alias("conf"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x"))
+    source = F.concat_ws("|", F.coalesce("source_file", F.lit("?")), F.coalesce(F.col("extraction_tier").cast("string"), F.lit("?")))
+    claims = rows.select("group_id", source.alias("src"), F.coalesce(F.when(F.isnan("confidence"), None).otherwise(F.col("confidence")), F.lit(0.5)).alias("conf"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), _claimed(triples, f).alias("value")) for f in fields))).alias("x"))
     claims = claims.select("group_id", "src", "conf", "x.*").where("value is not null and trim(value) != ''")
     claims = cut(claims.groupBy("group_id", "field", "value", "src").agg(F.sum("conf").alias("conf"), F.count("*").alias("votes")))
-    rel = cut(claims.groupBy("src").agg(F.least(F.greatest(F.sum("conf") / F.sum("votes"), F.lit(0.05)), F.lit(0.95)).alias("r")))
+    # a field's only value has a share of 1 in every round, so only contested claims pass through them
+    several = claims.groupBy("group_id", "field").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo != hi").select("group_id", "field")
+    contested = cut(claims.join(several, ["group_id", "field"]))
+    at_stake = contested.groupBy("src").agg(F.sum("votes").alias("open"))
+    said_in_all = claims.groupBy("src").agg(F.sum("conf").alias("conf"), F.sum("votes").alias("all_votes")).join(at_stake, "src", "left").select("src", "conf", "all_votes", (F.col("all_votes") - F.coalesce("open", F.lit(0))).alias("alone"))
+    sources = cut(said_in_all)
+    bounded = lambda r: F.least(F.greatest(r, F.lit(0.05)), F.lit(0.95)).alias("r")
+    rel = cut(sources.select("src", bounded(F.col("conf") / F.col("all_votes"))))
     for _ in range(rounds):
-        said = claims.join(rel, "src").withColumn("weight", -F.log(1 - F.col("r")) * F.col("conf"))
+        said = contested.join(rel, "src").withColumn("weight", -F.log(1 - F.col("r")) * F.col("conf"))
         support = said.groupBy("group_id", "field", "value").agg(F.sum("weight").alias("support"))
         share = support.join(support.groupBy("group_id", "field").agg(F.sum("support").alias("all")), ["group_id", "field"]).select("group_id", "field", "value", (F.col("support") / F.col("all")).alias("share"))
-        new = claims.join(share, ["group_id", "field", "value"]).groupBy("src").agg(((F.sum(F.col("share") * F.col("votes")) + 1) / (F.sum("votes") + 2)).alias("r"))
-        new = cut(new.select("src", F.least(F.greatest("r", F.lit(0.05)), F.lit(0.95)).alias("r")))
+        won = contested.join(share, ["group_id", "field", "value"]).groupBy("src").agg(F.sum(F.col("share") * F.col("votes")).alias("won"))
+        new = cut(sources.join(won, "src", "left").select("src", bounded((F.coalesce("won", F.lit(0.0)) + F.col("alone") + 1) / (F.col("all_votes") + 2))))
         moved = new.join(rel.withColumnRenamed("r", "old"), "src").agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0]
         rel = new
         if moved is None or moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"reliabilities still move by {moved} after {rounds} rounds")
     support = claims.join(rel, "src").groupBy("group_id", "field", "value").agg(F.sum(-F.log(1 - F.col("r")) * F.col("conf")).alias("support"), F.sum("votes").alias("votes"))
     best = support.groupBy("group_id", "field").agg(F.min(F.struct((-F.col("support")).alias("s"), "value", "votes")).alias("b"))
     return best.select("group_id", "field", F.col("b.value").alias("value"), (-F.col("b.s")).alias("support"), F.col("b.votes").alias("votes"))
