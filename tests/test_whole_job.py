@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.llm import survivor
+from weftspark.llm import pii, survivor
 from weftspark.operators import chunking
 from weftspark.plans import registry
 
@@ -57,3 +57,15 @@ def test_truth_knows_files_and_all_fields_and_converges(spark):
     assert all(v.startswith("x-right") for v in got["source_span"]) and set(got["properties"]) == {'{"a":"2","b":"1"}'} and set(got["confidence"]) == {"0.8"}
     with pytest.raises(RuntimeError, match="after 1 rounds"):
         survivor.truth(t, rounds=1)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("au 12 rue\nde la Paix.", "address"), ("au 12 rue\u00a0de la Paix.", "address"), ("au 7 quai\tVoltaire.", "address"),
+        ("dort, Kastanienring\n5.", "address"), ("dort, Lindenhof\u00a05.", "address"), ("dort, Am\nMarkstein 5.", "address"),
+        ("at 12 Maple Ter, now", "address"), ("to bo.li [At] weft.org now", "email"), ("to bo.li [aT  ] weft.org now", "email"),
+    ],
+)
+def test_no_filter_before_a_pattern_is_narrower_than_it(text, kind):
+    assert [k for *_, k in pii.Finder([], []).find(text)] == [kind]
