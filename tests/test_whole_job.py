@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftspark.llm import pii, survivor
-from weftspark.operators import chunking
+from weftspark.operators import chunking, graph
 from weftspark.plans import registry
 
 CHUNK = "chunk_id string, source_file string, content_type string, text string"
@@ -69,3 +69,10 @@ def test_truth_knows_files_and_all_fields_and_converges(spark):
 )
 def test_no_filter_before_a_pattern_is_narrower_than_it(text, kind):
     assert [k for *_, k in pii.Finder([], []).find(text)] == [kind]
+
+
+def test_two_hops_in_both_directions(spark):
+    e = [("x", "CAUSES", "n"), ("n", "CAUSES", "v"), ("v", "CAUSES", "w"), ("w", "FIXES", "z"), ("f", "FIXES", "w"), ("z", "RAN_ON", "q")]
+    near = {"n": "xvw", "v": "nxwzf", "w": "vnfz", "z": "wvf"}
+    got = {r.violation: r.reached for r in graph.reachable_fixes(spark.createDataFrame(e, "src string, type string, dst string")).collect()}
+    assert got == {v: len(n) for v, n in near.items()}

@@ -126,8 +126,11 @@ def design_metrics(edges: DataFrame) -> DataFrame:
 def reachable_fixes(edges: DataFrame) -> DataFrame:
     """(violation, reached): distinct nodes within two undirected CAUSES or FIXES steps of each violation that is the target of such an edge."""
     e = edges.where("type in ('CAUSES', 'FIXES')").select("src", "dst").distinct()
-    one = e.select(F.col("dst").alias("violation"), F.col("src").alias("n"))
-    two = one.join(e, one.n == e.src).select("violation", F.col("dst").alias("n")).where("violation != n")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    violations = e.select(F.col("dst").alias("violation")).distinct()
+    one = violations.join(both, F.col("violation") == both.src).select("violation", F.col("dst").alias("n"))
+    # a second step over the same edge leads back to the violation
+    two = one.join(both, one.n == both.src).select("violation", F.col("dst").alias("n")).where("violation != n")
     return one.unionByName(two).distinct().groupBy("violation").agg(F.count("*").alias("reached"))
 
 
