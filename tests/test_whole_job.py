@@ -76,3 +76,12 @@ def test_two_hops_in_both_directions(spark):
     near = {"n": "xvw", "v": "nxwzf", "w": "vnfz", "z": "wvf"}
     got = {r.violation: r.reached for r in graph.reachable_fixes(spark.createDataFrame(e, "src string, type string, dst string")).collect()}
     assert got == {v: len(n) for v, n in near.items()}
+
+
+def test_depths_refuse_cycles(spark):
+    e = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "d"), ("d", "e")]
+    schema = "src string, dst string"
+    assert {r.id: r.depth for r in graph.depths(spark.createDataFrame(e, schema)).collect()} == {"a": 0, "b": 1, "c": 2, "x": 0, "d": 3, "e": 4}
+    for cycle in ([("e", "b")], [("x", "x")], [("p", "q"), ("q", "p")]):
+        with pytest.raises(ValueError, match="cycle"):
+            graph.depths(spark.createDataFrame(e + cycle, schema))

@@ -147,20 +147,25 @@ def merge_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     return e.join(a, F.col("dst") == F.col("other"), "left").select("src", "type", F.coalesce("canon", "dst").alias("dst")).distinct()
 
 
-def depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(id, depth): the longest path from a source to each node of an acyclic graph, by relaxation; each round passes on only depths that rose. On a cycle it stops after max_rounds with the depths it has."""
+def depths(edges: DataFrame) -> DataFrame:
+    """(id, depth): the longest path from a source to each node of an acyclic graph. Each round takes away the nodes with no edges in from nodes that are left, and the round is their depth; nodes left when none can be taken lie on or behind a cycle, which is refused."""
     e = cut(edges.select("src", "dst").distinct())
+    into = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("left"))
     nodes = e.select(F.col("src").alias("id")).unionAll(e.select(F.col("dst").alias("id"))).distinct()
-    lab = cut(nodes.withColumn("depth", F.lit(0)))
-    front = lab
-    for _ in range(max_rounds):
-        up = front.join(e, front.id == e.src).groupBy(F.col("dst").alias("id")).agg((F.max("depth") + 1).alias("new"))
-        step = cut(lab.join(up, "id", "left").select("id", "depth", F.greatest("depth", F.coalesce("new", F.lit(0))).alias("now")))
-        front = step.where("now > depth").select("id", F.col("now").alias("depth"))
-        lab = step.select("id", F.col("now").alias("depth"))
+    waiting = nodes.join(into, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left"))
+    lab = cut(waiting.select("id", "left", F.when(F.col("left") == 0, 0).alias("depth")))
+    at = 0
+    while True:
+        front = lab.where(F.col("depth") == at)
         if not front.limit(1).count():
             break
-    return lab
+        at += 1
+        gone = front.join(e, front.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("gone"))
+        step = lab.join(gone, "id", "left").select("id", (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left"), "depth")
+        lab = cut(step.select("id", "left", F.coalesce("depth", F.when(F.col("left") == 0, at)).alias("depth")))
+    if lab.where("depth is null").limit(1).count():
+        raise ValueError("the graph has a cycle; its nodes have no depth")
+    return lab.select("id", "depth")
 
 
 def fan(edges: DataFrame) -> DataFrame:
