@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.llm import pii, survivor
+from weftspark.llm import leaks, pii, survivor
 from weftspark.operators import chunking, graph
 from weftspark.plans import registry
 
@@ -85,3 +85,14 @@ def test_depths_refuse_cycles(spark):
     for cycle in ([("e", "b")], [("x", "x")], [("p", "q"), ("q", "p")]):
         with pytest.raises(ValueError, match="cycle"):
             graph.depths(spark.createDataFrame(e + cycle, schema))
+
+
+def test_leaks_in_fields_of_a_least_passage_with_a_word_dropped():
+    words = [f"w{i}" for i in range(30)]
+    index = leaks.Index([("a", " ".join(words)), ("b", " ".join(f"z{i}" for i in range(20)))])
+    passage = words[9:21]
+    dropped = [" ".join(passage[:k] + passage[k + 1 :]) for k in range(12)]
+    # without an end word 11 words are left, which are no passage
+    assert leaks.leaks(dropped, index) == [set(), *[{"a"}] * 10, set()]
+    changed = " ".join([*passage[:4], "new", *passage[6:]])
+    assert leaks.leaks([changed, None, ""], index) == [set()] * 3

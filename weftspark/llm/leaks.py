@@ -105,6 +105,23 @@ def bucket_keys(windows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _gram_hashes(grams: np.ndarray) -> np.ndarray:
+    """Hashes of rows of word numbers, for candidates only."""
+    h = np.full(len(grams), 0xD6E8FEB86659FD93, dtype=np.uint64)
+    for c in range(grams.shape[1]):
+        h = (h ^ (grams[:, c].astype(np.uint64) + _MIX)) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _grams(items: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and items of all runs of half a window's words."""
+    hashes = [_gram_hashes(np.lib.stride_tricks.sliding_window_view(np.array(x[1], dtype=np.int64), size // 2)) for x in items]
+    h, o = np.concatenate(hashes), np.repeat(np.arange(len(items)), [len(x) for x in hashes])
+    order = np.argsort(h, kind="stable")
+    return h[order], o[order]
+
+
 class Index:
     """Buckets of the items' windows, in both views."""
 
@@ -143,9 +160,9 @@ class Index:
                 heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
                 table = np.zeros(_TABLE, dtype=bool)
                 table[k % _TABLE] = True
-                self.views.append((vocab, items, members, table, k[heads], np.concatenate([heads, [len(k)]]), o))
+                self.views.append((vocab, items, members, table, k[heads], np.concatenate([heads, [len(k)]]), o, _grams(items, size)))
             else:
-                self.views.append((vocab, items, *[None] * 5))
+                self.views.append((vocab, items, *[None] * 6))
         self.merged -= strict
 
 
@@ -161,7 +178,7 @@ def leaks(texts: list[str | None], index: Index) -> list[set[str]]:
     found: list[set[str]] = [set() for _ in texts]
     cleaned = [clean(t) if t else "" for t in texts]
     merged = index.merged
-    for (read, size, most_new), (vocab, items, members, table, keys, heads, owners) in zip(VIEWS, index.views, strict=True):
+    for (read, size, most_new), (vocab, items, members, table, keys, heads, owners, grams) in zip(VIEWS, index.views, strict=True):
         if not items:
             continue
         ids: list[int] = []
@@ -179,9 +196,19 @@ def leaks(texts: list[str | None], index: Index) -> list[set[str]]:
             first.append(len(ids))
         cleaned = again
         flat = np.array(ids, dtype=np.int64)
+        first_a = np.array(first)
+        # a least passage with a word dropped is one word short of a window; one half of it, left or right, is whole
+        short = np.flatnonzero(first_a[1:] - first_a[:-1] == size - 1)
+        if len(short):
+            whole = flat[first_a[short][:, None] + np.arange(size - 1)]
+            for half in (whole[:, : size // 2], whole[:, -(size // 2) :]):
+                h = _gram_hashes(half)
+                for x, lo, hi in zip(short.tolist(), np.searchsorted(grams[0], h, "left").tolist(), np.searchsorted(grams[0], h, "right").tolist(), strict=True):
+                    for y in set(grams[1][lo:hi].tolist()):
+                        if items[y][0] not in found[x] and items[y][3].found(flat[first[x] : first[x + 1]].tolist()):
+                            found[x].add(items[y][0])
         if len(flat) < size:
             continue
-        first_a = np.array(first)
         new = np.concatenate([[0], np.cumsum(flat == 0)])
         # a window of a passage has no more words unknown to the items than it has edits
         good = np.flatnonzero(new[size:] - new[:-size] <= most_new)
