@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftspark.util import TooLarge
+from weftspark.util import shared_dir
 
 #: A passage has at least so many words of the item; one word in EDITS of it may be changed, added or dropped.
 MIN_WORDS, EDITS = 12, 8
@@ -26,6 +27,8 @@ MIN_WORDS, EDITS = 12, 8
 WALKS, SAMPLES, POSITIONS = 4, 4, 5
 #: Items go to the workers in blocks of so many words, one pass over the corpus per block.
 BLOCK_WORDS = 2_000_000
+#: Words that the parts of an item longer than a block share.
+SHARED_WORDS = 64
 
 _INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
 _TAG, _ENTITY = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>"), re.compile(r"&(?:nbsp|amp|lt|gt|quot|#\d+);")
@@ -333,49 +336,74 @@ def recall(windows: np.ndarray, changed: np.ndarray) -> float:
 _FOUND = T.ArrayType(T.StringType())
 
 
+def item_parts(text: str, most: int, shared: int) -> Iterator[str]:
+    """A text of any length in parts of at most so many words, each sharing so many with the one before.
+
+    A passage holds a passage of at most 24 words: cut into runs of 24 words, one of them has no more than its share of edits, three, and
+    without the edits at its ends it keeps 21 words or more and a ratio no worse. So parts that share 24 words or more lose none.
+    """
+    if len(text) // 2 <= most:
+        yield text
+        return
+    starts = [m.start() for m in _WORD.finditer(text)]
+    at = 0
+    while at == 0 or at + shared < len(starts):
+        end = at + most
+        yield text[starts[at] if at else 0 : starts[end] if end < len(starts) else len(text)]
+        at = end - shared
+
+
 def _blocks(items: DataFrame, id_col: str, fields: tuple[str, ...]) -> Iterator[list[tuple[str, str]]]:
     """The stated items, in blocks of at most BLOCK_WORDS words each, streamed from the cluster one partition at a time."""
     block, words = [], 0
     rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), *fields).distinct()
     for r in rows.toLocalIterator():
         for f in fields:
-            if r[f]:
-                n = len(r[f]) // 4
-                if n > BLOCK_WORDS:
-                    raise TooLarge(f"item {r['i']} alone has about {n} words")
-                if words + n > BLOCK_WORDS:
+            for part in item_parts(r[f], BLOCK_WORDS, SHARED_WORDS) if r[f] else ():
+                n = len(part) // 4
+                if block and words + n > BLOCK_WORDS:
                     yield block
                     block, words = [], 0
-                block.append((r["i"], r[f]))
+                block.append((r["i"], part))
                 words += n
     if block:
         yield block
 
 
+def _one_block(corpora: dict[str, tuple[DataFrame, str, tuple[str, ...]]], shared) -> DataFrame:
+    @F.pandas_udf(_FOUND)
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = shared.value
+        for s in it:
+            yield pd.Series([sorted(x) for x in leaks(s.tolist(), index)], dtype=object)
+
+    out = None
+    for name, (df, id_col, texts) in corpora.items():
+        # fields of a record are read apart: a passage doesn't run from one into the next
+        rows = df.select(F.col(id_col).alias("record_id"), F.explode(F.array(*texts)).alias("text")) if len(texts) > 1 else df.select(F.col(id_col).alias("record_id"), F.col(texts[0]).alias("text"))
+        got = rows.where("text is not null").select(F.lit(name).alias("corpus"), "record_id", F.explode(run("text")).alias("item_id"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def find_leaks(corpora: dict[str, tuple[DataFrame, str, tuple[str, ...]]], items: DataFrame, item_id: str = "id", fields: tuple[str, ...] = ("query", "ground_truth_answer")) -> DataFrame:
     """(corpus, record_id, item_id) of every record that holds a passage of an item.
 
     corpora: name -> (table, id column, text columns). Items with under MIN_WORDS words can't leak; null and empty texts
     hold nothing; repeated rows are reported once; without items the result is empty. Records are read whole, once per
-    block of items, and nothing is shuffled but the found triples.
+    block of items, and nothing is shuffled but the found triples. Items of one block stay a lazy plan. Of more blocks one is
+    indexed at a time: its finds are written to the shared folder and its index leaves driver and workers before the next.
     """
     spark = items.sparkSession
-    out = spark.createDataFrame([], "corpus string, record_id bigint, item_id string")
-    for block in _blocks(items, item_id, fields):
+    blocks = _blocks(items, item_id, fields)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], "corpus string, record_id bigint, item_id string")
+    if second is None:
+        return _one_block(corpora, spark.sparkContext.broadcast(Index(first))).distinct()
+    path = f"{shared_dir(spark)}/leaks-{uuid.uuid4().hex}"
+    for block in chain((first, second), blocks):
         shared = spark.sparkContext.broadcast(Index(block))
-
-        def finder(shared=shared):
-            @F.pandas_udf(_FOUND)
-            def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                index = shared.value
-                for s in it:
-                    yield pd.Series([sorted(x) for x in leaks(s.tolist(), index)], dtype=object)
-
-            return run
-
-        for name, (df, id_col, texts) in corpora.items():
-            # fields of a record are read apart: a passage doesn't run from one into the next
-            rows = df.select(F.col(id_col).alias("record_id"), F.explode(F.array(*texts)).alias("text")) if len(texts) > 1 else df.select(F.col(id_col).alias("record_id"), F.col(texts[0]).alias("text"))
-            got = rows.where("text is not null").select("record_id", F.explode(finder()("text")).alias("item_id"))
-            out = out.unionByName(got.select(F.lit(name).alias("corpus"), "record_id", "item_id"))
-    return out.distinct()
+        _one_block(corpora, shared).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.parquet(path).distinct()
