@@ -128,12 +128,18 @@ def map_values(values: DataFrame, entities: DataFrame, threshold: float = THRESH
     seen = cut(forms.select("kind", "value", "numbers", "form", F.explode(_grams("form")).alias("gram")))
     # grams that no name has weigh as rare ones
     rare = F.log1p(F.col("names")) * 0.7
-    weighed = seen.join(maybe_broadcast(weights), ["kind", "gram"], "left").join(F.broadcast(total), "kind", "left").withColumn("w", F.coalesce("w", rare, F.lit(1.0)))
+    weighed = seen.join(maybe_broadcast(weights), ["kind", "gram"], "left").join(maybe_broadcast(total), "kind", "left").withColumn("w", F.coalesce("w", rare, F.lit(1.0)))
     value_norm = weighed.groupBy("kind", "value", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("value_norm"))
     p = postings.select("kind", "numbers", "gram", "entity_id", "name", "name_norm", F.col("w").alias("pw"))
     scored = seen.join(p, ["kind", "numbers", "gram"]).groupBy("kind", "value", "form", "entity_id", "name", "name_norm").agg(F.sum(F.col("pw") * F.col("pw")).alias("dot"))
     scored = scored.join(value_norm, ["kind", "value", "form"]).withColumn("cosine", F.col("dot") / (F.col("name_norm") * F.col("value_norm"))).where(F.col("cosine") >= CANDIDATE)
-    scored = scored.withColumn("edits", _edits("form", "name")).where(F.col("edits") <= F.when(F.length("name") >= 6, MAX_EDITS).otherwise(0))
+    # stored before names are compared: else the comparison, a filter on grouping keys, is pushed below the aggregate and made for
+    # every n-gram in common. Rows are small, so AQE would leave them to one task; a stated number of partitions stays.
+    scored = cut(scored.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "value"))
+    # a swap is one edit here and two for the engine's distance, so none within MAX_EDITS is lost
+    near = F.levenshtein("form", "name", 2 * MAX_EDITS) >= 0
+    scored = scored.where(F.when(F.length("name") >= 6, near & (F.abs(F.length("form") - F.length("name")) <= MAX_EDITS)).otherwise(F.col("form") == F.col("name")))
+    scored = scored.withColumn("edits", F.when(F.col("form") == F.col("name"), 0).otherwise(_edits("form", "name"))).where(F.col("edits") <= MAX_EDITS)
     scored = scored.withColumn("score", (F.col("cosine") + 1 - F.col("edits") / F.greatest(F.length("form"), F.length("name"))) / 2)
     best = scored.groupBy("kind", "value", "entity_id").agg(F.max("score").alias("score"))
     top = best.groupBy("kind", "value").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "entity_id")), asc=False), 1, 2).alias("t"))
