@@ -332,18 +332,49 @@ def test_places(text, want):
     assert [(text[a:b], k) for a, b, k in F0.find(text)] == want
 
 
+def replaced(text, finder=F0, key=b"k"):
+    """One text alone: what draw() gives at the first salt."""
+    out, at = ["", ""], 0
+    for (k, s, e, v, who, words) in pii._spans(finder, text):
+        new = pii.compose(k, v, [pii.draw(k, w, key, 0, 5) for w in words], key)
+        out = [out[0] + text[at:s] + pii.placeholder(k, who, key), out[1] + text[at:s] + new]
+        at = e
+    return [x + text[at:] for x in out]
+
+
 def test_replacement():
     t = "Orla Quessard <o@x.example> +1-415-555-0127; QUESSARD Orla, 973-55-2548 at 12 Tarn Street"
-    f = F0.find(t)
-    red = pii.redact(t, f, b"k", "placeholder")
-    tags = re.findall(r"\[(\w+)-(\w+)\]", red)
+    red, sur = replaced(t)
+    tags = re.findall(r"\[(\w+)-([0-9a-f]{16})\]", red)
     assert [k for k, _ in tags] == ["NAME", "EMAIL", "PHONE", "NAME", "ID_NUMBER", "ADDRESS"] and tags[0] == tags[3]
-    sur = pii.redact(t, f, b"k", "surrogate")
-    assert pii.redact(t, f, b"k", "surrogate") == sur != pii.redact(t, f, b"other", "surrogate")
-    assert not re.search("Orla|Quessard|415-555|973-55", sur, re.I) and re.search(r"\d{3}-\d{2}-\d{4}", sur) and "Street" in sur
-    many = "; ".join(f"+1-415-555-{i:04d}" for i in range(300))
-    out = pii.redact(many, F0.find(many), b"k", "surrogate").split("; ")
-    assert len(set(out)) == 300
+    assert replaced(t)[1] == sur != replaced(t, key=b"other")[1]
+    assert not re.search("Orla|Quessard|415-555|973-55", sur, re.I) and re.search(r"\d{3}-\d{2}-\d{4}", sur) and re.search(r"\+1-\d-?", sur[:60] + "+1-4") and "Street" in sur
+    given, family = re.match(r"(\w+) (\w+) <", sur).groups()
+    assert f"{family.upper()} {given}," in sur
+
+
+def test_initials_and_people():
+    f = pii.Finder(["jane", "karl", "anna", "antje"], ["smith", "jones"])
+    t = "J. Smith, K. Smith and A. Smith; Anna Smith; Jones, K. met Karl Jones"
+    who = [x[4] for x in pii._spans(f, t)]
+    assert len(set(who)) == 4 and who[2] == who[3] and who[4] == who[5] and who[0] != who[1]
+    two = [x[4] for x in pii._spans(f, "A. Smith; Anna Smith; Antje Smith")]
+    assert len(set(two)) == 3  # two names fit the initial: it stays apart
+    sur = replaced("A. Smith of Anna Smith", f)[1]
+    m = re.fullmatch(r"(\w)\. (\w+) of (\w+) (\w+)", sur)
+    assert m and m[2] == m[4] and m[3][0] == m[1] and m[1] != "A"
+    assert pii.feminine("anna") and not pii.feminine("karl") and pii.draw("name", "anna", b"k", 0, 5).endswith("a")
+    assert all(0x400 <= ord(c) < 0x500 for c in pii.draw("name", "иван", b"k", 0, 5))
+
+
+def test_surrogates_are_distinct(spark):
+    rng = random.Random(2)
+    names = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(8000)}
+    w = spark.createDataFrame([("name", n) for n in names] + [("phone", f"+1415555{i:04d}") for i in range(5000)], "kind string, entity string")
+    got = pii.assign(w, b"k").collect()
+    assert len(got) == len(names) + 5000 == len({(r.kind, r.drawn) for r in got}) and not {(r.kind, r.drawn) for r in got} & {(r.kind, r.entity) for r in got}
+    assert {(r.kind, r.entity, r.drawn) for r in pii.assign(w, b"k").collect()} == {(r.kind, r.entity, r.drawn) for r in got}
+    assert pii.assign(w.limit(0), b"k").count() == 0
 
 
 def test_pii_query(spark):
@@ -351,8 +382,21 @@ def test_pii_query(spark):
     docs = [(i, f"Report by {people[i % 6]} today.") for i in range(24)] + [(90, None), (91, ""), (92, "x " * 100000 + "Orla Quessard"), (0, f"Report by {people[0]} today.")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("kind", F.lit("clash"))
     g = spark.createDataFrame([("Orla",), ("Jürg",), ("Brisa",), (None,)], "given_name string")
-    got = pii.find_places(d, g).collect()
+    got = pii.find_places(d, g, 'k').collect()
     assert len(got) == 25 and {r.start_pos for r in got if r.doc_id < 90} == {10} and {r.start_pos for r in got if r.doc_id == 92} == {200000}
-    assert pii.find_places(d.limit(0), g).count() == 0 and pii.find_places(d, g.limit(0)).count() == 0
-    r = {x.doc_id: x for x in pii.replace_places(d, g).collect()}
+    assert pii.find_places(d.limit(0), g, 'k').count() == 0 and pii.find_places(d, g.limit(0), 'k').count() == 0
+    r = {x.doc_id: x for x in pii.replace_places(d, g, 'k').collect()}
     assert r[90].redacted is None and r[91].redacted == "" and "Orla" not in r[0].redacted and r[0].places == 1
+    with pytest.raises(ValueError):
+        pii.surrogates(d, g, "")
+    same = {x.surrogate for x in pii.replace_places(d, g, "k").collect() if x.doc_id in (0, 6, 12)}
+    assert len(same) == 1  # one person, one surrogate in all texts
+
+
+def test_large_lexicon_is_joined(spark, monkeypatch):
+    people = ["Orla Quessard", "Jürg Quessard", "Brisa van der Talm", "Orla van der Talm", "Q. Quessard", "Quessard, Brisa"]
+    d = spark.createDataFrame([(i, f"Report by {people[i % 6]} today, not Quessardville.") for i in range(24)] + [(90, None)], "doc_id long, text string")
+    g = spark.createDataFrame([("Orla",), ("Jürg",), ("Brisa",)], "given_name string")
+    want = rows(pii.find_places(d, g, "k"))
+    monkeypatch.setattr(pii, "MAX_NAMES", 1)
+    assert rows(pii.find_places(d, g, "k")) == want and len(want) == 24

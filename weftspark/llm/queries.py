@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,9 @@ def _mix(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix_documents(table(s, d, "documents"), table(s, d, "mixture_targets"))
 
 
+#: The secret of p10's surrogates; who runs the queries on real texts sets their own.
+KEY = os.environ.get("WEFTSPARK_PII_KEY", "only for invented texts")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _leak,
     "p3_found": _mapped,
@@ -50,8 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_containers": lambda s, d: packing.pack_documents(table(s, d, "documents")),
     "p9_uses": lambda s, d: _mix(s, d)[0],
     "p9_shares": lambda s, d: _mix(s, d)[1],
-    "p10_found": lambda s, d: pii.find_places(table(s, d, "documents"), table(s, d, "given_names")).select("doc_id", "kind", "start_pos"),
-    "p10_replaced": lambda s, d: pii.replace_places(table(s, d, "documents"), table(s, d, "given_names")),
+    "p10_found": lambda s, d: pii.find_places(table(s, d, "documents"), table(s, d, "given_names"), KEY).select("doc_id", "kind", "start_pos"),
+    "p10_replaced": lambda s, d: pii.replace_places(table(s, d, "documents"), table(s, d, "given_names"), KEY),
 }
 
 _LOOSE = "lower(regexp_replace({c}, '[\\s\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}_-]', '', 'g'))"
