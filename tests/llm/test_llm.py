@@ -199,7 +199,7 @@ Q = "Why does Tessera 2.4.0 report 18 violations on met2 after routing of heron_
 CASES = [
     ("", "empty"), (None, "empty"), (" \n", "empty"), ("N/A", "empty"), ("<answer>", "empty"), ("[no answer]", "empty"), ("...", "empty"), ("​", "empty"), ("None.", "empty"),
     (Q, "copies_question"), (Q.upper(), "copies_question"), ("You asked: " + Q, "copies_question"), (Q + " " + Q, "copies_question"), (f'"{Q[:-1]}."', "copies_question"),
-    ("I'm sorry, but I can't help with that request.", "refusal"), ("As an AI assistant I am not able to give advice on this.", "refusal"), ("Diese Frage kann ich leider nicht beantworten.", "refusal"), ("Je ne suis pas autorisé à commenter ces règles.", "refusal"), ("Lo siento, no puedo ayudar con esta solicitud.", "refusal"), ("I must decline to answer. Please ask your foundry contact.", "refusal"),
+    ("I'm sorry, but I can't help with that request.", "refusal"), ("As an AI assistant I am not able to give advice on this.", "refusal"), ("Diese Frage kann ich leider nicht beantworten.", "refusal"), ("Je ne suis pas autorisé à commenter ces règles.", "refusal"), ("Lo siento, no puedo ayudar con esta solicitud.", "refusal"), ("I must decline to answer. Please ask your foundry contact.", "refusal"), ("Mi dispiace, non posso rispondere a questa domanda.", "refusal"), ("申し訳ありませんが、そのご質問にはお答えできません。", "refusal"), ("К сожалению, я не могу ответить на этот вопрос.", "refusal"), ("抱歉，我无法回答这个问题。", "refusal"),
     ("The pins overlap. Keep the aspect ratio near,", "truncated"), ("The pins overlap. Resizing invx4 to the next drive the", "truncated"), ("Steps:\n1. Rerun routing with A=0.5\n2. Check the units\n3.", "truncated"), ("Look here.\n\n```\nset_max_fanout 24 [current_design]", "truncated"), ("Bad.\n\nThe faulty text is:\ncreate_clock -period 4.16 -name perf_cl", "truncated"),
     ("Der kritische Pfad beginnt bei u_rx1 und endet bei u_tx2. Bitte prüfen Sie zuerst die Einheit.", "other_language"), ("Le chemin critique part de u_rx1 et aboutit à u_tx2. La cause est une contrainte absente dans le fichier.", "other_language"),
     ("Macro tx is rotated and blocks the met4 tracks.", None), ("Use 0.33 instead.", None), ("Steps:\n1. Rerun routing before you look at anything else\n2. Check the units first", None), ("It is low.\n\n```\nset_max_fanout 24 [current_design]\n```", None), ("Power is high. Then run: make tx_cts", None), ("Bad.\n\nThe faulty text is:\nLAYER via2 ;\n  SPACING 3.692 ;", None),
@@ -207,9 +207,14 @@ CASES = [
 ]
 
 
+CASES += [
+    ("Критический путь начинается в u_rx1 и заканчивается в u_tx2.", "other_language"), ("关键路径从 u_rx1 开始，到 u_tx2 结束，请先检查单位。", "other_language"), ("المسار الحرج يبدأ عند u_rx1 وينتهي عند u_tx2.", "other_language"), ("クリティカルパスはu_rx1から始まります。まず単位を確認してください。", "other_language"),
+]
+
+
 @pytest.mark.parametrize("answer,want", CASES)
 def test_defects(answer, want):
-    d = defects.defects(Q, answer, "LAYER via2 ;\n  SPACING 3.692 ;" if answer and "via2 ;" in answer else None)
+    d = defects.defects(Q, answer, "LAYER via2 ;\n  SPACING 3.692 ;" if answer and "via2 ;" in answer else None, "-.[]" if answer and "create_clock" in answer else None)
     assert (d[0] if d else None) == want
 
 
@@ -219,6 +224,21 @@ def test_flag_pairs(spark):
     assert defects.flag_pairs(df.limit(0)).count() == 0
 
 
+def test_question_language_is_that_of_what_is_asked():
+    q = "Lower the effort, because the strap on met2 is too wide and the pins are near the edge. Comment corriger la violation dans le bloc ?"
+    assert defects.defects(q, "Le chemin critique part de u_rx1 et aboutit à u_tx2. Il faut relancer le flot.", None) == []
+    assert defects.defects(q, "The strap on met2 is too wide, so that the router has no track left there.", None) == ["other_language"]
+    assert defects.defects("ok?", "Критический путь начинается в u_rx1 и заканчивается в u_tx2.", None) == ["other_language"]
+
+
+def test_statements_are_learned(spark):
+    ev = [f"knob A{i}={i}\nother {i}" for i in range(30)] + [None, ""]
+    p = spark.createDataFrame([(i, "What is it?", "Bad.\n\nThe faulty text is:\nknob A7", e) for i, e in enumerate(ev)], "qa_id long, question string, answer string, evidence_span string")
+    assert {r.head: r.marks for r in defects.statement_marks(p, "evidence_span").collect()} == {"knob": "="}
+    assert {r.qa_id for r in defects.flag_pairs(p).where("defect = 'truncated'").collect()} >= {30, 31}
+    assert defects.defects("What is it?", "Bad.\n\nThe faulty text is:\nknob A7", None) == []
+
+
 def test_language():
     assert lang.detect("The die spans (1, 2) to (3, 4) and the clock is fast.") == "en" and lang.detect("まずライブラリの時間単位を確認してください。") == "ja"
     assert lang.detect("") is None and lang.detect(None) is None and lang.normalise("en-US") == "en" and lang.normalise("DE") == "de" and lang.normalise("spa") == "es" and lang.normalise("xx") is None

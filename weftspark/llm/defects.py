@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftspark.llm.lang import detect
+from weftspark.llm.lang import by_script, detect
+from weftspark.util import cut, maybe_broadcast
 
 #: The order of the rules; where one defect per pair is wanted, the first that fires is it.
 DEFECTS = ("empty", "copies_question", "refusal", "truncated", "other_language")
@@ -22,7 +23,7 @@ PLACEHOLDERS = {
 }
 _EDGE = re.compile(r"^[\s\W_]+|[\s\W_]+$")
 
-# fixed values: phrases by which a speaker declines, in English, German, French and Spanish
+# fixed values: phrases by which a speaker declines, in English, German, French, Spanish, Italian, Portuguese, Dutch, Japanese, Chinese and Russian
 _TALK = r"(?:help|assist|answer|respond|comment|explain|discuss|share|provide|give|offer|comply|speculate|diagnos\w*|advise|disclose|elaborate|reveal|say|address)"
 REFUSALS = [
     rf"\b(?:i|we)(?:'m| am|'re| are)?\s+(?:really\s+|simply\s+|still\s+)?(?:can(?:no|')t|can not|could ?n[o']t|unable|not able|not (?:in a position|allowed|permitted|authori[sz]ed))\b(?:\s+\w+){{0,3}}?\s+(?:to\s+)?{_TALK}\b",
@@ -36,11 +37,16 @@ REFUSALS = [
     r"\bdarf\s+ich\b.*\b(?:nicht|keine)\b|\bgebe\s+ich\s+keine\b|\bist\s+es\s+mir\s+nicht\s+möglich\b|\bich\s+bin\s+(?:leider\s+)?nicht\s+(?:befugt|berechtigt|autorisiert|in\s+der\s+lage)\b|\bes\s+ist\s+mir\s+(?:leider\s+)?nicht\s+möglich\b|\bmir\s+(?:leider\s+)?nicht\s+(?:möglich|gestattet|erlaubt)\b",
     r"\bje\s+(?:ne|n'|n’)\s*\w*\s*(?:peux|puis|suis|souhaite|veux|pourrai)\b\s+pas\b|\bpas\s+(?:possible|autorisé|en\s+mesure)\s+(?:de|d')\s*(?:fournir|répondre|commenter|aider|donner)\b|\bm['’]est\s+pas\s+possible\b|\bje\s+préfère\s+ne\s+pas\b|\bimpossible\s+pour\s+moi\b",
     r"\bno\s+(?:puedo|podemos|podré)\s+(?:ayudar|responder|comentar|dar|ofrecer|explicar|contestar)\b|\bno\s+me\s+es\s+posible\b|\bno\s+estoy\s+autorizad[oa]\b|\bprefiero\s+no\b|\bno\s+(?:me\s+est[áa]\s+permitido|tengo\s+permiso)\b|\bme\s+es\s+imposible\b",
+    r"\bnon\s+(?:posso|possiamo|potrò|sono\s+(?:in\s+grado|autorizzat[oa]))\b.{0,30}?\b(?:aiutar\w*|risponder\w*|commentare|fornire|dare|spiegare|assister\w*)|\bmi\s+dispiace,?\s+(?:ma\s+)?non\s+posso\b|\bpreferisco\s+non\b|\bnon\s+mi\s+è\s+(?:possibile|permesso|consentito)\b",
+    r"\bnão\s+(?:posso|podemos|consigo|estou\s+autorizad[oa])\b.{0,30}?\b(?:ajudar|responder|comentar|fornecer|dar|explicar)|\bprefiro\s+não\b|\b(?:ik|wij)\s+kan\b.{0,30}?\bniet\s+(?:helpen|beantwoorden|geven)\b",
+    r"(?:お答え|回答|お手伝い|対応|お伝え|説明|提供|コメント)(?:は|を|が|に)?(?:することは|することが)?(?:できません|できかねます|いたしかねます|致しかねます|差し控え)|申し訳(?:ありません|ございません)が.{0,40}(?:できません|かねます)",
+    r"(?:抱歉|对不起|很遗憾|不好意思).{0,20}(?:无法|不能|不便)|我(?:无法|不能)(?:回答|帮助|提供|评论|协助)",
+    r"\bя\s+не\s+(?:могу|смогу|вправе)\s+(?:помочь|ответить|комментировать|предоставить|дать|объяснить)|\bк\s+сожалению,?\s+.{0,30}?не\s+(?:могу|смогу)\b",
 ]
 _REFUSAL = re.compile("|".join(REFUSALS), re.I | re.S)
 # fixed values: courtesies that go with a refusal and give no help
 _COURTESY = re.compile(
-    r"^(?:i(?:'m| am)\s+)?(?:very\s+)?sorry\b[^.]*$|^thank(?:s| you)\b|^please\s+(?:ask|contact|consult|refer|reach|see)\b|^you\s+(?:may|might|could|can)\s+(?:wish|want|try|like)?\s*(?:to\s+)?(?:consult|contact|ask|refer|check with)\b|^unable\s+to\s+comply\b|^the\s+request\s+concerns\b|^bitte\s+(?:wenden|fragen|kontaktieren)\b|^vielen\s+dank\b|^danke\b|^merci\b|^veuillez\s+(?:contacter|consulter|demander)\b|^gracias\b|^consulte\b|^por\s+favor\b|^es\s+tut\s+mir\s+leid\b|^désolée?\b|^lo\s+siento\b|^regrettably\b|^unfortunately\b",
+    r"^(?:i(?:'m| am)\s+)?(?:very\s+)?sorry\b[^.]*$|^thank(?:s| you)\b|^please\s+(?:ask|contact|consult|refer|reach|see)\b|^you\s+(?:may|might|could|can)\s+(?:wish|want|try|like)?\s*(?:to\s+)?(?:consult|contact|ask|refer|check with)\b|^unable\s+to\s+comply\b|^the\s+request\s+concerns\b|^bitte\s+(?:wenden|fragen|kontaktieren)\b|^vielen\s+dank\b|^danke\b|^merci\b|^veuillez\s+(?:contacter|consulter|demander)\b|^gracias\b|^consulte\b|^por\s+favor\b|^es\s+tut\s+mir\s+leid\b|^désolée?\b|^mi\s+dispiace\b|^desculpe\b|^申し訳|^すみません|^恐れ入りますが|^抱歉|^对不起|^извините\b|^lo\s+siento\b|^regrettably\b|^unfortunately\b",
     re.I,
 )
 _CONTRAST = re.compile(r",\s*(?:but|aber|mais|pero|so)\b", re.I)
@@ -122,14 +128,11 @@ def _unbalanced(text: str) -> bool:
     return bool(stack)
 
 
-#: Statements of the languages at hand, and what each ends with.
-_STATEMENTS = [
-    (r"create_clock\b|set_(?:false_path|multicycle_path|input_delay|output_delay|max_fanout|max_delay)\b", r"\]$"), (r"set_units\b", r"-\w+\s+\w+$"), (r"module\b|LAYER\b|SPACING\b|WIDTH\b", r";$"), (r"export\b", r"=\s*\S+$"), (r"set\s+::", r"\)\s+\S+$"), (r"slack\s*\(", r"\)\s+-?\d+(?:\.\d+)?$"), (r"error:", r"\)$"),
-]
+def _code_cut(code: str, evidence: str | None, marks: str = "") -> bool:
+    """Code, quoted after a colon or fenced, that stops before its end: a proper prefix of the evidence, an open bracket or quote, an option without value, half a number.
 
-
-def _code_cut(code: str, evidence: str | None) -> bool:
-    """Code, quoted after a colon or fenced, that stops before its end: a proper prefix of the evidence, an open bracket or quote, an option without value, half a number."""
+    marks: punctuation that all statements that begin like the last line have; see statement_marks().
+    """
     code = code.strip()
     if evidence and (ev := evidence.strip()):
         if code == ev or code in ev.split("\n"):
@@ -141,10 +144,10 @@ def _code_cut(code: str, evidence: str | None) -> bool:
     last = code.split("\n")[-1].strip()
     if _unbalanced(code) or last.count('"') % 2 == 1 or re.search(r"(?:^|\s)-\w*$|[=(\[{,\\]$|\d\.$|^-\d*$|::$", last):
         return True
-    return any(re.match(head, last) and not re.search(end, last) for head, end in _STATEMENTS)
+    return any(m not in last for m in marks)
 
 
-def is_truncated(answer: str, evidence: str | None) -> bool:
+def is_truncated(answer: str, evidence: str | None, marks: str = "") -> bool:
     a = answer.rstrip()
     if a.count("```") % 2:
         return True
@@ -163,7 +166,7 @@ def is_truncated(answer: str, evidence: str | None) -> bool:
         if lines[i].rstrip().endswith(":") and not _LIST_ITEM.match(lines[i]) and lines[i].strip().count(" ") >= 1:
             code = "\n".join(lines[i + 1 :])
             if not re.search(r"[.!?]\s+[A-ZÄÖÜÀ-Þ¿¡]", code):
-                return _code_cut(code, evidence)
+                return _code_cut(code, evidence, marks)
             break
     if m := _COMMAND.search(last):
         return False
@@ -179,23 +182,56 @@ def is_truncated(answer: str, evidence: str | None) -> bool:
     return True
 
 
+_ASKED = re.compile(r"[^.!?。？！\n]*(?:[.](?=\S)[^.!?。？！\n]*)*[?？]\s*[\"'»”)]*\s*$")
+
+
+def asked_in(question: str) -> str | None:
+    """The language of what is asked at the end, where that tells; else of the whole question, which may quote others."""
+    end = _ASKED.search(question)
+    return (detect(end[0], least=1.0) if end else None) or detect(question, least=1.0)
+
+
 def is_other_language(question: str | None, answer: str) -> bool:
-    q, a = detect(question, least=1.0), detect(answer, lead=2.5)
-    return q is not None and a is not None and q != a
+    """Prose in another language than the question's, or in another script, where the question's language can't be told."""
+    a = detect(answer, lead=2.5)
+    if a is None or not question:
+        return False
+    q = asked_in(question)
+    return q != a if q is not None else a not in ("en", "de", "fr", "es") and by_script(question) != a
 
 
-def defects(question: str | None, answer: str | None, evidence: str | None) -> list[str]:
+def defects(question: str | None, answer: str | None, evidence: str | None, marks: str | None = None) -> list[str]:
     """Every defect type whose rule fires, in the order of DEFECTS. An empty answer has no other."""
     if is_empty(answer):
         return ["empty"]
-    rules = (is_copy(question, answer), is_refusal(answer), is_truncated(answer, evidence), is_other_language(question, answer))
+    rules = (is_copy(question, answer), is_refusal(answer), is_truncated(answer, evidence, marks or ""), is_other_language(question, answer))
     return [d for d, fires in zip(DEFECTS[1:], rules, strict=True) if fires]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _defects(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for q, a, e in it:
-        yield pd.Series([defects(x, y, z) for x, y, z in zip(q, a, e, strict=True)], dtype=object)
+def _defects(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for q, a, e, m in it:
+        yield pd.Series([defects(*x) for x in zip(q, a, e, m, strict=True)], dtype=object)
+
+
+#: A mark belongs to a kind of statement if so large a share of at least so many lines of it have it.
+MARK_SHARE, MARK_LINES = 0.99, 20
+
+
+def _head(line: Column) -> Column:
+    """The word a statement begins with."""
+    return F.regexp_extract(line, r"^\s*([A-Za-z_][\w:]*)", 1)
+
+
+def statement_marks(texts: DataFrame, text: str) -> DataFrame:
+    """(head, marks): by the first word of a line, the punctuation that lines which begin with it always have: what a statement cut short may lack.
+
+    Learned from all quoted evidence of the table, which is whole; lines are counted inside the JVM with partial sums.
+    """
+    lines = texts.where(F.col(text).isNotNull()).select(F.explode(F.split(text, r"\r\n|\r|\n")).alias("line")).select(_head(F.col("line")).alias("head"), F.array_distinct(F.regexp_extract_all("line", F.lit(r"[^\w\s]"), F.lit(0))).alias("m")).where("head != ''")
+    n = lines.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") >= MARK_LINES)
+    m = lines.select("head", F.explode("m").alias("mark")).groupBy("head", "mark").agg(F.count("*").alias("k"))
+    return m.join(n, "head").where(F.col("k") >= MARK_SHARE * F.col("n")).groupBy("head").agg(F.concat_ws("", F.array_sort(F.collect_list("mark"))).alias("marks"))  # a head's few marks
 
 
 def flag_pairs(pairs: DataFrame, id_col: str = "qa_id") -> DataFrame:
@@ -206,5 +242,8 @@ def flag_pairs(pairs: DataFrame, id_col: str = "qa_id") -> DataFrame:
     """
     # not deterministic to Spark: else the filter is pushed below the projection and the rules run twice
     rules = _defects.asNondeterministic()
-    got = pairs.select(F.col(id_col), rules("question", "answer", "evidence_span").alias("defects"))
+    marks = maybe_broadcast(cut(statement_marks(pairs, "evidence_span")))
+    last = F.element_at(F.split(F.regexp_replace(F.coalesce("answer", F.lit("")), r"\s+$", ""), "\n"), -1)
+    p = pairs.select(F.col(id_col), "question", "answer", "evidence_span", _head(last).alias("head")).join(marks, "head", "left")
+    got = p.select(F.col(id_col), rules("question", "answer", "evidence_span", "marks").alias("defects"))
     return got.where(F.size("defects") > 0).withColumn("defect", F.element_at("defects", 1))
