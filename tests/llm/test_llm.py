@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -176,6 +177,21 @@ def test_valleys():
     t = a * 30 + b * 25
     cut = splitting.split(t, 512, 0)[0][2]
     assert abs(cut - len(a) * 30) <= 2 * len(a)
+    # by hand: word counts, blocks of BLOCK units, smoothing, rise to the next peaks
+    text = "a b. a c. b b. x y. y z. x z. "
+    cuts = [5, 10, 15, 20, 25]
+    units = [Counter(text[i:j].replace(".", "").split()) for i, j in zip([0, *cuts], [*cuts, len(text)])]
+    def cos(i):
+        l, r = sum(units[max(0, i + 1 - splitting.BLOCK) : i + 1], Counter()), sum(units[i + 1 : i + 1 + splitting.BLOCK], Counter())
+        return sum(l[w] * r[w] for w in l) / (sum(v * v for v in l.values()) * sum(v * v for v in r.values())) ** 0.5
+    s = [cos(i) for i in range(5)]
+    s = [(s[max(0, i - 1)] + 2 * s[i] + s[min(4, i + 1)]) / 4 for i in range(5)]
+    def peak(i, step):
+        while 0 <= i + step < 5 and s[i + step] >= s[i]:
+            i += step
+        return s[i]
+    want = [peak(i, -1) + peak(i, 1) - 2 * s[i] for i in range(5)]
+    assert splitting.depths(text, cuts) == pytest.approx(want) and max(range(5), key=want.__getitem__) == 2
 
 
 CHUNK = "chunk_id string, source_file string, chunk_index int, text string, token_count int, embedded_at timestamp, p int"
@@ -184,12 +200,12 @@ CHUNK = "chunk_id string, source_file string, chunk_index int, text string, toke
 def test_pieces(spark):
     big = "Sentence one is here. " * 300
     c = spark.createDataFrame([("a", "f", 3, big, 1, T1, 0), ("a", "f", 3, big, 1, T2, 0), ("b", "f", 1, "small", None, T1, 0), ("c", "g", None, None, 1, T1, 0), ("d", None, 0, "", 1, T1, 0), ("e", "f", 900, "x" * 3000, 1, T1, 0)], CHUNK)
-    p = splitting.renumber(splitting.pieces(c)).orderBy("source_file", "new_chunk_index").collect()
+    p = splitting.pieces(c).orderBy("source_file", "new_chunk_index").collect()
     f = [r for r in p if r.source_file == "f"]
     assert [r.new_chunk_index for r in f] == list(range(len(f))) and f[0].chunk_id == "b" and f[-1].chunk_id == "e"
     assert "".join(r.text[r.fresh - r.start :] for r in f if r.chunk_id == "a") == big and max(r.token_count for r in p) <= 512
     assert {r.chunk_id for r in p} == {"a", "b", "d", "e"}
-    assert splitting.renumber(splitting.pieces(c.limit(0))).count() == 0
+    assert splitting.pieces(c.limit(0)).count() == 0
 
 
 # --- defects ------------------------------------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Oversized texts cut at natural boundaries, with overlap.
 
-Where a text has topics, they show as valleys of lexical cohesion: the similarity of the words in a block
-of units before a boundary and in a block after it. Among the boundaries of the strongest kind that lie in the window
-of possible cuts, the one in the deepest valley is taken.
+Where a text has topics, they show as valleys of lexical cohesion: the similarity of the word counts in a block
+of units before a boundary and in a block after it, smoothed over neighbours. Of the boundaries that lie in the window of possible
+cuts, the one in the deepest valley is taken; the head of a module, section, paragraph or line makes a valley deeper by a fixed amount.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,11 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from weftspark.util import cut as stored
+
 MAX_TOKENS, OVERLAP = 512, 64
 #: Units on each side of a boundary whose words are compared.
 BLOCK = 4
 #: A cut lies in the last part of the window: a piece is at least so full, unless no boundary lies there.
 FULL = 0.5
+#: What a kind of boundary adds to the depth of its valley, strongest kind first; depths lie between 0 and 4, mostly under 1.
+BONUS = {"module": 0.8, "section": 0.6, "blank": 0.4, "line": 0.2, "sentence": 0.0}
 
 # Kinds of boundary, strongest first: module-like heads, section heads, blank lines, lines, sentences, words.
 _MODULE = re.compile(r"(?m)^(?=[ \t]*(?:module|package|interface|class|proc|def|function|macro|MACRO|LAYER|endmodule)\b)")
@@ -61,33 +66,48 @@ def boundaries(text: str) -> list[dict[int, None]]:
     return out
 
 
-class _Cohesion:
-    """Depth of the valley at a cut: the rise of block similarity to the next peaks on both sides. Computed where asked for."""
-
-    def __init__(self, text: str, cuts: list[int]) -> None:
-        self.text, self.ends, self.at = text, [*cuts, len(text)], {p: i for i, p in enumerate(cuts)}
-        self.bags: dict[int, set[str]] = {}
-        self.sims: dict[int, float] = {}
-
-    def bag(self, i: int) -> set[str]:
-        if (b := self.bags.get(i)) is None:
-            b = self.bags[i] = set(_WORD.findall(self.text[self.ends[i - 1] if i else 0 : self.ends[i]].lower()))
-        return b
-
-    def sim(self, i: int) -> float:
-        if (s := self.sims.get(i)) is None:
-            left = set().union(*map(self.bag, range(max(0, i + 1 - BLOCK), i + 1)))
-            right = set().union(*map(self.bag, range(i + 1, min(len(self.ends), i + 1 + BLOCK))))
-            s = self.sims[i] = len(left & right) / math.sqrt(len(left) * len(right)) if left and right else 0.0
-        return s
+def depths(text: str, cuts: list[int]) -> list[float]:
+    """The depth of the valley at each cut: how far smoothed block similarity rises from there to the next peaks on both sides.
 
-    def depth(self, p: int) -> float:
-        i = a = b = self.at[p]
-        while a > 0 and self.sim(a - 1) >= self.sim(a):
-            a -= 1
-        while b + 2 < len(self.ends) and self.sim(b + 1) >= self.sim(b):
-            b += 1
-        return self.sim(a) + self.sim(b) - 2 * self.sim(i)
+    Blocks are BLOCK units wide on each side and slide by one unit; the product and the norms of their word counts are kept up with each
+    word that moves, so the work is in proportion to the text.
+    """
+    ends = [*cuts, len(text)]
+    bags = [Counter(_WORD.findall(text[a:b].lower())) for a, b in zip([0, *cuts], ends, strict=True)]
+    left, right = Counter(), Counter()
+    dot = nl = nr = 0
+
+    def move(bag: Counter, to_left: int, to_right: int) -> None:
+        nonlocal dot, nl, nr
+        for w, c in bag.items():
+            x, y = left[w], right[w]
+            p, q = x + to_left * c, y + to_right * c
+            dot += p * q - x * y
+            nl += p * p - x * x
+            nr += q * q - y * y
+            left[w], right[w] = p, q
+
+    for b in bags[1 : BLOCK + 1]:
+        move(b, 0, 1)
+    sims = []
+    for i in range(len(cuts)):
+        if i:
+            move(bags[i], 0, -1)
+        move(bags[i], 1, 0)
+        if i >= BLOCK:
+            move(bags[i - BLOCK], -1, 0)
+        if i and i + BLOCK < len(bags):
+            move(bags[i + BLOCK], 0, 1)
+        sims.append(dot / math.sqrt(nl * nr) if nl and nr else 0.0)
+    s = [(x + 2 * y + z) / 4 for x, y, z in zip([sims[0], *sims[:-1]], sims, [*sims[1:], sims[-1]], strict=True)] if sims else []
+    up_left, up_right = s[:], s[:]
+    for i in range(1, len(s)):
+        if s[i - 1] >= s[i]:
+            up_left[i] = up_left[i - 1]
+    for i in range(len(s) - 2, -1, -1):
+        if s[i + 1] >= s[i]:
+            up_right[i] = up_right[i + 1]
+    return [a + b - 2 * x for a, b, x in zip(up_left, up_right, s, strict=True)]
 
 
 def split(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
@@ -101,23 +121,25 @@ def split(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> li
     if n <= cap:
         return [(0, 0, n, "end")]
     kinds = boundaries(text)
-    cuts = sorted(p for k in kinds for p in k)
-    cohesion = _Cohesion(text, cuts)
-    names = ("module", "section", "blank", "line", "sentence")
     sorted_kinds = [sorted(k) for k in kinds]
+    named = {p: name for name, k in zip(BONUS, kinds, strict=True) for p in k}
+    cuts = sorted(named)
+    deep = depths(text, cuts)
     pieces, start, fresh = [], 0, 0
     while n - start > cap:
         top = start + cap
         low = max(fresh + 1, start + int(cap * FULL))
         end, kind = 0, ""
-        for floor in (low, fresh + 1):
-            for name, k in zip(names, sorted_kinds, strict=True):
-                window = k[bisect_left(k, floor) : bisect_right(k, top)]
-                if window:
-                    end, kind = max(window, key=lambda p: (cohesion.depth(p), p)) if floor == low and len(window) > 1 else window[-1], name
+        window = range(bisect_left(cuts, low), bisect_right(cuts, top))
+        if window:
+            end = cuts[max(window, key=lambda i: (deep[i] + BONUS[named[cuts[i]]], i))]
+            kind = named[end]
+        else:
+            for name, k in zip(BONUS, sorted_kinds, strict=True):
+                at = bisect_right(k, top) - 1
+                if at >= 0 and k[at] > fresh:
+                    end, kind = k[at], name
                     break
-            if end:
-                break
         if not end:
             space = [m.end() for m in _SPACE.finditer(text, fresh + 1, top)]
             end, kind = (space[-1], "word") if space else (top, "hard")
@@ -153,33 +175,46 @@ def _splitter(max_tokens: int, overlap: int):
     return run
 
 
-def pieces(chunks: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, once: bool = True) -> DataFrame:
-    """(source_file, chunk_id, chunk_index, piece_no, pieces, start, fresh, end, cut, text, token_count) of each chunk, once per chunk_id and text (with once=False as often as it is there).
+def _split_rows(chunks: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
+    """(source_file, chunk_id, chunk_index, h, n, p): the offsets of each chunk's pieces, without its text; h is a hash of the text.
 
-    Texts within the limit pass as one piece without leaving the JVM; only oversized ones go to Python.
-    Null texts give no piece; an empty text is one empty piece of one token. Null ids and files are kept as null.
+    Texts within the limit are one piece without leaving the JVM; only oversized ones go to Python.
     """
     c = chunks.where("text is not null").select("source_file", "chunk_id", "chunk_index", "text")
-    if once:
-        c = c.distinct()
     whole = F.array(F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("start"), F.lit(0).alias("fresh"), F.length("text").alias("end"), F.lit("end").alias("cut")))
     large = c.where(oversized(F.col("text"), max_tokens)).withColumn("p", _splitter(max_tokens, overlap)("text"))
     small = c.where(~oversized(F.col("text"), max_tokens)).withColumn("p", whole)
-    # offsets count characters as Python does; Spark's substring too
-    got = small.unionByName(large).select("source_file", "chunk_id", "chunk_index", "text", F.size("p").alias("pieces"), F.explode("p").alias("x"))
-    text = F.expr("substring(text, x.start + 1, x.end - x.start)")
-    return got.select("source_file", "chunk_id", "chunk_index", "x.piece_no", "pieces", "x.start", "x.fresh", "x.end", "x.cut", text.alias("text")).withColumn("token_count", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("int"))
+    return small.unionByName(large).select("source_file", "chunk_id", "chunk_index", F.md5("text").alias("h"), "p")
 
 
-def renumber(cut_pieces: DataFrame, span: int = 256) -> DataFrame:
-    """new_chunk_index: 0, 1, ... within each source_file, by chunk_index, chunk_id and piece_no.
+def pieces(chunks: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, span: int = 256) -> DataFrame:
+    """(source_file, chunk_id, chunk_index, piece_no, pieces, new_chunk_index, start, fresh, end, cut, text, token_count), once per chunk_id and text.
 
-    A file may hold a third of all rows, so no window spans a file's rows: rows are counted per file and span of chunk
-    indices, the counts (one row per span) are summed up, and rows are numbered within their span.
+    new_chunk_index: 0, 1, ... within each source_file, by chunk_index, chunk_id and piece_no. Null texts give no piece; an empty text
+    is one empty piece of one token. Null ids and files are kept as null; null files are one file.
+    Texts are split once. What is stored, freed of repeated deliveries and numbered are offsets without texts; the texts are joined to
+    them last. A file may hold a third of all rows, so no window spans a file's rows: pieces are counted per file and span of
+    chunk indices, the counts are summed up, and chunks are ordered within their span.
     """
-    p = cut_pieces.withColumn("_span", F.coalesce(F.floor(F.col("chunk_index") / span), F.lit(-1)))
-    file = F.coalesce("source_file", F.lit(""))
-    p = p.withColumn("_file", file)
-    before = p.groupBy("_file", "_span").count().withColumn("_before", F.coalesce(F.sum("count").over(W.partitionBy("_file").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    n = F.row_number().over(W.partitionBy("_file", "_span").orderBy("chunk_index", "chunk_id", "piece_no", "start"))
-    return p.withColumn("_n", n).join(before, ["_file", "_span"]).withColumn("new_chunk_index", (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_file", "_span", "_n", "_before")
+    keys = ["source_file", "chunk_id", "chunk_index", "h"]
+    o = stored(_split_rows(chunks, max_tokens, overlap).groupBy(*keys).agg(F.first("p").alias("p")))
+    o = o.withColumn("_span", F.coalesce(F.floor(F.col("chunk_index") / span), F.lit(-1))).withColumn("_file", F.coalesce("source_file", F.lit("")))
+    per = o.groupBy("_file", "_span").agg(F.sum(F.size("p")).alias("n"))
+    per = per.select("_file", "_span", F.coalesce(F.sum("n").over(W.partitionBy("_file").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = W.partitionBy("_file", "_span").orderBy("chunk_index", "chunk_id", "h").rowsBetween(W.unboundedPreceding, -1)
+    o = o.withColumn("_in", F.coalesce(F.sum(F.size("p")).over(w), F.lit(0))).join(per, ["_file", "_span"]).select(*keys, "p", (F.col("_before") + F.col("_in")).alias("_first"))
+    texts = chunks.where("text is not null").select("source_file", "chunk_id", "chunk_index", F.md5("text").alias("h"), "text").groupBy(*keys).agg(F.first("text").alias("text"))
+    renamed = o.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    got = texts.join(renamed, same).select("source_file", "chunk_id", "chunk_index", "text", F.size("p").alias("pieces"), "_first", F.explode("p").alias("x"))
+    # offsets count characters as Python does; Spark's substring too
+    text = F.expr("substring(text, x.start + 1, x.end - x.start)")
+    got = got.select("source_file", "chunk_id", "chunk_index", "x.piece_no", "pieces", (F.col("_first") + F.col("x.piece_no")).cast("long").alias("new_chunk_index"), "x.start", "x.fresh", "x.end", "x.cut", text.alias("text"))
+    return got.withColumn("token_count", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("int"))
+
+
+def oversized_chunks(chunks: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+    """(chunk_id) of the chunks that are split into several pieces."""
+    return _split_rows(chunks, max_tokens, overlap).where(F.size("p") > 1).select("chunk_id").distinct()
