@@ -44,6 +44,10 @@ REFUSALS = [
     r"\bя\s+не\s+(?:могу|смогу|вправе)\s+(?:помочь|ответить|комментировать|предоставить|дать|объяснить)|\bк\s+сожалению,?\s+.{0,30}?не\s+(?:могу|смогу)\b",
 ]
 _REFUSAL = re.compile("|".join(REFUSALS), re.I | re.S)
+# fixed values: what every phrase of REFUSALS has one of, in lower case; a text without any declines nothing
+_DECLINES = ("can't", "cann", "can not", "could", "unable", "not able", "not in a position", "not allow", "not permit", "not author", "not be able", "won't", "wouldn't", "rather not", "not to", "not comfort", "not feel", "don't feel", "not go", "not help", "not assist", "not answer", "not respond", "not comment", "not explain", "not discuss", "not share", "not provide", "not give", "not offer", "not comply", "not speculate", "not diagnos", "not advise", "not disclose", "not elaborate", "not reveal", "not say", "not address",
+    "possible for", "decline", "refuse", "pass on", "to pass", "leave unanswered", "can be", "beyond what", "outside what", "not something", "an ai", "kann", "darf", "möchte", "werde", "keine", "möglich", "gestattet", "erlaubt", "befugt", "berechtigt", "autorisiert", "in der lage", "pas", "je préfère", "impossible", "no pue", "no pod", "no me", "no estoy", "prefiero", "no tengo", "imposible",
+    "non ", "preferisco", "não", "prefiro", "niet", "ません", "かね", "差し控え", "抱歉", "对不起", "遗憾", "不好意思", "无法", "不能", "не ")
 # fixed values: courtesies that go with a refusal and give no help
 _COURTESY = re.compile(
     r"^(?:i(?:'m| am)\s+)?(?:very\s+)?sorry\b[^.]*$|^thank(?:s| you)\b|^please\s+(?:ask|contact|consult|refer|reach|see)\b|^you\s+(?:may|might|could|can)\s+(?:wish|want|try|like)?\s*(?:to\s+)?(?:consult|contact|ask|refer|check with)\b|^unable\s+to\s+comply\b|^the\s+request\s+concerns\b|^bitte\s+(?:wenden|fragen|kontaktieren)\b|^vielen\s+dank\b|^danke\b|^merci\b|^veuillez\s+(?:contacter|consulter|demander)\b|^gracias\b|^consulte\b|^por\s+favor\b|^es\s+tut\s+mir\s+leid\b|^désolée?\b|^mi\s+dispiace\b|^desculpe\b|^申し訳|^すみません|^恐れ入りますが|^抱歉|^对不起|^извините\b|^lo\s+siento\b|^regrettably\b|^unfortunately\b",
@@ -105,6 +109,9 @@ def is_refusal(answer: str) -> bool:
     text = answer.replace("’", "'")
     if "```" in text:
         return False
+    low = " ".join(text.lower().split())
+    if not any(w in low for w in _DECLINES):
+        return False
     sentences = [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
     declined = False
     for s in sentences:
@@ -182,13 +189,13 @@ def is_truncated(answer: str, evidence: str | None, marks: str = "") -> bool:
     return True
 
 
-_ASKED = re.compile(r"[^.!?。？！\n]*(?:[.](?=\S)[^.!?。？！\n]*)*[?？]\s*[\"'»”)]*\s*$")
+_END = re.compile(r"(?<=[.!?。？！])\s+|\n+|(?<=[。？！])")
 
 
 def asked_in(question: str) -> str | None:
     """The language of what is asked at the end, where that tells; else of the whole question, which may quote others."""
-    end = _ASKED.search(question)
-    return (detect(end[0], least=1.0) if end else None) or detect(question, least=1.0)
+    end = _END.split(question.strip())[-1]
+    return (detect(end, least=1.0) if end.rstrip("\"'»”) ").endswith(("?", "？")) else None) or detect(question, least=1.0)
 
 
 def is_other_language(question: str | None, answer: str) -> bool:

@@ -23,6 +23,7 @@ _SCRIPT = {
 }
 _SPOKEN = {"kana": "ja", "han": "zh", "cyrillic": "ru", "greek": "el", "hangul": "ko", "arabic": "ar", "hebrew": "he", "thai": "th", "devanagari": "hi"}
 _SCRIPT_RE = {k: re.compile(v) for k, v in _SCRIPT.items()}
+_NOT_LATIN = re.compile("[^\x00-ɏ\u2000-\u206f]")
 #: A script other than Latin decides from so many of its letters on, and from this share of all letters: prose in it quotes many Latin names.
 LEAST_LETTERS, LEAST_SHARE = 8, 0.2
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,6 +39,8 @@ def scripts(text: str) -> dict[str, int]:
 
 def by_script(text: str) -> str | None:
     """The language that the scripts alone show: Japanese where there is kana among Han, else that of the strongest script that isn't Latin."""
+    if len(_NOT_LATIN.findall(text)) < LEAST_LETTERS:
+        return None
     n = scripts(text)
     latin = n.pop("latin", 0)
     if n.get("kana"):
