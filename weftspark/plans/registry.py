@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspark.operators import chunking, corpus, evaluate, extract, graph, inject, ranks, reports, router, search, splits, units
+from weftspark.plans.base import ORACLES, QUERIES, listed, query
 from weftspark.streaming import jobs
 from weftspark.util import cut, shared_dir, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _in(values: list[str]) -> str:
-    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+_in = listed
 
 
 # --- units -------------------------------------------------------------------------------------------------------
@@ -737,3 +720,10 @@ def stream_ingest(s, d):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema)
     jobs.ingest(s, f"{d}/events.parque[t]", schema, f"{base}/table", "event_id", f"{base}/log")
     return s.read.parquet(f"{base}/table").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# --- queries in modules of their own -----------------------------------------------------------------------------------
+
+from weftspark.plans import triples  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "triples"]
