@@ -60,6 +60,11 @@ def edges_of(triples: DataFrame) -> DataFrame:
     return valid(triples).select(F.col("subject_id").alias("src"), F.col("predicate").alias("type"), F.col("object_id").alias("dst")).distinct()
 
 
+def labelled_edges(triples: DataFrame) -> DataFrame:
+    """Distinct (src_label, src, type, dst_label, dst), labels as they are merged."""
+    return valid(triples).select(label(F.col("subject_label")).alias("src_label"), F.col("subject_id").alias("src"), F.col("predicate").alias("type"), label(F.col("object_label")).alias("dst_label"), F.col("object_id").alias("dst")).distinct()
+
+
 def k_hop_edges(edges: DataFrame, starts: DataFrame, k: int = 2, limit: int | None = None) -> DataFrame:
     """(start, src, type, dst): distinct edges on undirected paths of up to k edges from each start, no edge twice on a path.
 
@@ -92,21 +97,25 @@ def label_counts(triples: DataFrame) -> DataFrame:
 
 
 def multi_fix(edges: DataFrame) -> DataFrame:
-    """(violation, fixes): violations with more than one distinct fix."""
-    return edges.where("type = 'FIXES'").groupBy(F.col("dst").alias("violation")).agg(F.countDistinct("src").alias("fixes")).where("fixes > 1")
+    """(violation, fixes, ids): violations with more than one distinct fix, and which."""
+    g = edges.where("type = 'FIXES'").groupBy(F.col("dst").alias("violation")).agg(F.array_sort(F.collect_set("src")).alias("ids"))  # the fixes of one violation
+    return g.where(F.size("ids") > 1).select("violation", F.size("ids").alias("fixes"), "ids")
 
 
 def cross_version(edges: DataFrame) -> DataFrame:
-    """(violation, pairs): violations whose fixes target several (fix, version) pairs."""
+    """(violation, pairs, which): violations whose fixes target several (fix, version) pairs, and which."""
     f, t = edges.where("type = 'FIXES'").select(F.col("src").alias("fix"), F.col("dst").alias("violation")), edges.where("type = 'TARGETS'").select(F.col("src").alias("fix"), F.col("dst").alias("version"))
-    return f.join(t, "fix").groupBy("violation").agg(F.countDistinct("fix", "version").alias("pairs")).where("pairs > 1")
+    g = f.join(t, "fix").groupBy("violation").agg(F.array_sort(F.collect_set(F.struct("fix", "version"))).alias("which"))
+    return g.where(F.size("which") > 1).select("violation", F.size("which").alias("pairs"), "which")
 
 
 def violation_fixes(edges: DataFrame) -> DataFrame:
-    """(violation, fixes, documents): distinct fixes of each fixed violation and the reports that document it. Each side is counted before the join, so a violation with many of both gives no product."""
-    f = edges.where("type = 'FIXES'").groupBy(F.col("dst").alias("violation")).agg(F.countDistinct("src").alias("fixes"))
-    d = edges.where("type = 'DOCUMENTED_IN'").groupBy(F.col("src").alias("violation")).agg(F.countDistinct("dst").alias("documents"))
-    return f.join(d, "violation", "left").select("violation", "fixes", F.coalesce("documents", F.lit(0)).alias("documents"))
+    """(violation, fix, document, own_documents): a row per fix of a violation and report that documents the fix (null without one), and how many reports document the violation itself."""
+    f = edges.where("type = 'FIXES'").select(F.col("dst").alias("violation"), F.col("src").alias("fix")).distinct()
+    d = edges.where("type = 'DOCUMENTED_IN'")
+    by_fix = d.select(F.col("src").alias("fix"), F.col("dst").alias("document")).distinct()
+    own = d.groupBy(F.col("src").alias("violation")).agg(F.countDistinct("dst").alias("own_documents"))
+    return f.join(by_fix, "fix", "left").join(own, "violation", "left").select("violation", "fix", "document", F.coalesce("own_documents", F.lit(0)).alias("own_documents"))
 
 
 def diagnosis(edges: DataFrame, optional: tuple[str, ...] = ("VERSION_OF", "RAN_ON")) -> DataFrame:

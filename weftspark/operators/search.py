@@ -85,10 +85,10 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, terms(text))) / F.size(q)).otherwise(0.0)
 
 
-def rerank(cands: DataFrame, top_n: int = 5) -> DataFrame:
+def rerank(cands: DataFrame, top_n: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """cands (qid, did, rank, rerank_score): top_n by score, with rank before and after and how far each moved."""
     r = top_per_group(cands, ["qid"], [F.col("rerank_score").desc(), F.col("rank")], top_n, "reranked")
-    return r.select("qid", "did", F.col("rank").alias("original_rank"), F.col("reranked").alias("reranked_rank"), F.abs(F.col("rank") - F.col("reranked")).alias("moved"), "rerank_score")
+    return r.select("qid", "did", F.col("rank").alias("original_rank"), F.col("reranked").alias("reranked_rank"), F.abs(F.col("rank") - F.col("reranked")).alias("moved"), "rerank_score", *keep)
 
 
 def rerank_stats(cands: DataFrame, top_n: int = 5) -> DataFrame:

@@ -311,17 +311,19 @@ def label_counts(s, d):
     return graph.label_counts(table(s, d, "triples"))
 
 
-@query(f"SELECT dst AS violation, count(DISTINCT src) AS fixes FROM {_EDGES} WHERE type = 'FIXES' GROUP BY dst HAVING count(DISTINCT src) > 1")
+@query(f"SELECT dst AS violation, count(DISTINCT src) AS fixes, string_agg(DISTINCT src, ';' ORDER BY src) AS ids FROM {_EDGES} WHERE type = 'FIXES' GROUP BY dst HAVING count(DISTINCT src) > 1")
 def multi_fix(s, d):
-    return graph.multi_fix(graph.edges_of(table(s, d, "triples")))
+    x = graph.multi_fix(graph.edges_of(table(s, d, "triples")))
+    return x.withColumn("ids", F.array_join("ids", ";"))
 
 
-@query(f"SELECT f.dst AS violation, count(DISTINCT (f.src, t.dst)) AS pairs FROM {_EDGES} f JOIN {_EDGES} t ON f.src = t.src WHERE f.type = 'FIXES' AND t.type = 'TARGETS' GROUP BY f.dst HAVING count(DISTINCT (f.src, t.dst)) > 1")
+@query(f"SELECT violation, count(*) AS pairs, string_agg(fix || '@' || version, ';' ORDER BY fix, version) AS which FROM (SELECT DISTINCT f.dst AS violation, f.src AS fix, t.dst AS version FROM {_EDGES} f JOIN {_EDGES} t ON f.src = t.src WHERE f.type = 'FIXES' AND t.type = 'TARGETS') GROUP BY violation HAVING count(*) > 1")
 def cross_version(s, d):
-    return graph.cross_version(graph.edges_of(table(s, d, "triples")))
+    x = graph.cross_version(graph.edges_of(table(s, d, "triples")))
+    return x.withColumn("which", F.array_join(F.transform("which", lambda p: F.concat(p["fix"], F.lit("@"), p["version"])), ";"))
 
 
-@query(f"SELECT v AS violation, f AS fixes, coalesce(n, 0) AS documents FROM (SELECT dst AS v, count(DISTINCT src) AS f FROM {_EDGES} WHERE type = 'FIXES' GROUP BY dst) LEFT JOIN (SELECT src AS v, count(DISTINCT dst) AS n FROM {_EDGES} WHERE type = 'DOCUMENTED_IN' GROUP BY src) USING (v)")
+@query(f"SELECT DISTINCT f.dst AS violation, f.src AS fix, d.dst AS document, coalesce(o.n, 0) AS own_documents FROM {_EDGES} f LEFT JOIN (SELECT * FROM {_EDGES} WHERE type = 'DOCUMENTED_IN') d ON d.src = f.src LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM {_EDGES} WHERE type = 'DOCUMENTED_IN' GROUP BY src) o ON o.src = f.dst WHERE f.type = 'FIXES'")
 def violation_fixes(s, d):
     return graph.violation_fixes(graph.edges_of(table(s, d, "triples")))
 
@@ -336,7 +338,7 @@ def design_metrics(s, d):
     return graph.design_metrics(graph.edges_of(table(s, d, "triples")))
 
 
-@query(f"WITH e AS (SELECT DISTINCT src, dst FROM {_EDGES} WHERE type IN ('CAUSES', 'FIXES')), r AS (SELECT dst AS violation, src AS n FROM e UNION SELECT a.dst, b.dst FROM e a JOIN e b ON a.src = b.src WHERE a.dst <> b.dst) SELECT violation, count(*) AS reached FROM r GROUP BY violation")
+@query(f"WITH e AS (SELECT DISTINCT src, dst FROM {_EDGES} WHERE type IN ('CAUSES', 'FIXES')), b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), v AS (SELECT DISTINCT dst AS violation FROM e), r AS (SELECT violation, y AS n FROM v JOIN b ON x = violation UNION SELECT violation, c.y FROM v JOIN b a ON a.x = violation JOIN b c ON c.x = a.y WHERE c.y <> violation) SELECT violation, count(*) AS reached FROM r GROUP BY violation")
 def two_hop_reach(s, d):
     return graph.reachable_fixes(graph.edges_of(table(s, d, "triples")))
 
@@ -466,14 +468,18 @@ def route_queries(s, d):
     return router.route(table(s, d, "qa_raw").select("qa_id", "question"), "question").select("qa_id", "category", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"""SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY length(id) DESC, id) AS rank FROM (SELECT DISTINCT e.id AS qid, n.id FROM edabench e, (SELECT DISTINCT id FROM ({_ENDS}) WHERE length(id) >= 3) n WHERE e.query IS NOT NULL AND contains(lower(e.query), lower(n.id)))""")
+_LINK = rf"""(WITH n AS (SELECT DISTINCT id, lower(id) AS low, regexp_extract(lower(id), '^({"|".join(router.PREFIXES)})(.*)$', 2) AS tail FROM ({_ENDS})), q AS (SELECT DISTINCT id AS qid, lower(query) AS q FROM edabench WHERE query IS NOT NULL),
+u AS (SELECT qid, id FROM q JOIN n ON contains(q, low) UNION SELECT qid, id FROM (SELECT qid, unnest(regexp_extract_all(q, '\b\w+\b')) AS w FROM q) JOIN n ON tail = w WHERE tail IN {_in(router.NAMES)} UNION SELECT qid, id FROM q JOIN n ON contains(q, tail) WHERE tail IN {_in(router.VERSION_NAMES)}
+UNION SELECT qid, id FROM (SELECT qid, unnest(list_transform(regexp_extract_all(q, '\b(ed[_-]?\d{{3}})\b', 1), lambda x: replace(x, '-', '_'))) AS ed FROM q) JOIN n ON contains(low, ed)) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY length(id) DESC, id) AS rank FROM u)"""
+
+
+@query(f"SELECT * FROM {_LINK}")
 def link_entities(s, d):
     ids = graph.merge_nodes(table(s, d, "triples")).select("id")
     return router.link(table(s, d, "edabench"), "id", "query", ids)
 
 
-@query(f"""WITH l AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY length(id) DESC, id) AS rank FROM (SELECT DISTINCT e.id AS qid, n.id FROM edabench e, (SELECT DISTINCT id FROM ({_ENDS}) WHERE length(id) >= 3) n WHERE e.query IS NOT NULL AND contains(lower(e.query), lower(n.id)))) WHERE rank <= 5),
-f AS (SELECT l.qid, l.id, count(*) AS facts FROM l JOIN {_EDGES} e ON e.src = l.id OR e.dst = l.id GROUP BY l.qid, l.id)
+@query(f"""WITH l AS (SELECT qid, id FROM {_LINK} WHERE rank <= 5), f AS (SELECT l.qid, l.id, count(*) AS facts FROM l JOIN {_EDGES} e ON e.src = l.id OR e.dst = l.id GROUP BY l.qid, l.id)
 SELECT qid, CAST(sum(facts) AS BIGINT) AS facts, count(*) AS entities FROM f GROUP BY qid""")
 def fused_facts(s, d):
     """Graph facts of the entities that each query names, at most five: counted per entity before they are joined."""
@@ -639,7 +645,7 @@ def graph_hit_rate(s, d):
     return evaluate.hit_rate(table(s, d, "qa_raw").withColumn("facts", F.length(F.trim("evidence_span"))), "task_category", "facts")
 
 
-_LINKED = f"(SELECT e.id AS qid, list(DISTINCT lower(n.id)) AS got FROM edabench e JOIN (SELECT DISTINCT id FROM ({_ENDS}) WHERE length(id) >= 3) n ON contains(lower(e.query), lower(n.id)) GROUP BY e.id)"
+_LINKED = f"(SELECT qid, list(DISTINCT lower(id)) AS got FROM {_LINK} GROUP BY qid)"
 
 
 @query(f"""SELECT e.id, CASE WHEN len(x) = 0 THEN 1.0 ELSE CAST(len(list_intersect(x, coalesce(got, []))) AS DOUBLE) / len(x) END AS retrieval_recall FROM (SELECT id, list_distinct(list_transform(coalesce(expected_graph_nodes, []), lambda v: lower(v))) AS x FROM edabench) e LEFT JOIN {_LINKED} l ON l.qid = e.id""")
@@ -724,6 +730,6 @@ def stream_ingest(s, d):
 
 # --- queries in modules of their own -----------------------------------------------------------------------------------
 
-from weftspark.plans import triples  # noqa: E402
+from weftspark.plans import retrieval, triples  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "triples"]
+__all__ = ["ORACLES", "QUERIES", "retrieval", "triples"]

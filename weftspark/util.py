@@ -54,3 +54,14 @@ def small_rows(df: DataFrame, what: str, max_rows: int = MAX_SMALL_ROWS) -> list
 def maybe_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast df if it is counted to be small; else leave the join to shuffle on its key."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores is dealt to all cores, before work that is heavy per row. Larger tables, streams and results of shuffles pass as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or n < 2:
+        return df
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString() or execution.toRdd().getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
