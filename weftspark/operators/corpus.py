@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.util import cut
+from weftspark.util import cut, spread
 
 # fixed values: content types by file extension
 EXTENSIONS = {
@@ -68,7 +68,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     Prefix filter: shingles are ordered from the rarest on, and two sets that similar share one of their first
     |s| - ceil(threshold * |s|) + 1; frequent shingles are in prefixes only where a text has no others.
     """
-    w = docs.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), words(F.col(text)).alias("w"))
+    w = spread(docs.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_t"))).select("id", words(F.col("_t")).alias("w"))
     s = w.select("id", F.transform(shingles(F.col("w"), n), lambda x: F.xxhash64(x)).alias("s"))
     # filtered once it is stored: a filter on size(s) would be pushed below the projections and compute s at every position anew
     s = cut(s.withColumn("s", F.array_sort("s"))).where(F.size("s") > 0).withColumn("key", F.md5(F.array_join("s", ",")))
@@ -89,16 +89,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     return classes, links
 
 
-def components(nodes: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, class_id): the smallest id reachable, by label propagation with pointer jumping; rounds are cut in the shared folder. The driver sees only whether anything moved."""
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, class_id): the smallest id reachable, of every node of a link. Label propagation with pointer jumping; only nodes whose label moved, and their neighbours, take part in a round.
+
+    Rounds are cut in the shared folder; the driver sees only whether anything moved.
+    """
     e = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    lab = cut(nodes.select("id", F.col("id").alias("l")))
+    lab = cut(e.groupBy(F.col("x").alias("id")).agg(F.least(F.col("x"), F.min("y")).alias("l")))
     while True:
-        near = e.join(lab.withColumnsRenamed({"id": "y"}), "y").groupBy(F.col("x").alias("id")).agg(F.min("l").alias("m"))
-        step = lab.join(near, "id", "left").select("id", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l"))
-        jump = step.join(step.select(F.col("id").alias("l"), F.col("l").alias("ll")), "l", "left")
-        new = cut(jump.select("id", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        near = e.join(lab.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("l").alias("m"))
+        step = lab.join(near, "id").select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
+        # a label is a node too: take over its label
+        new = cut(step.join(lab.select(F.col("id").alias("l"), F.col("l").alias("ll")), "l", "left").select("id", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
         moved = new.where("l != old").limit(1).count()
         lab = new.select("id", "l")
         if not moved:
@@ -110,9 +113,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
     classes, links = near_duplicates(docs, threshold, id_col, text)
     links = cut(links)
     classes = cut(classes)
-    comp = components(classes.select(F.col("rep").alias("id")).distinct(), links)
+    comp = components(links)
     deg = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    m = classes.join(comp.withColumnRenamed("id", "rep"), "rep").join(deg, "rep", "left")
+    m = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(deg, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
     every = docs.select(F.col(id_col).cast("long").alias("id")).distinct()
     return every.join(m, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.operators.ranks import top_per_group
-from weftspark.util import cut, maybe_broadcast
+from weftspark.util import cut, spread
 
 # public defaults of BM25 engines
 K1, B = 1.2, 0.75
@@ -16,25 +22,103 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+#: Queries that are scored at once; more go in blocks, one pass over the documents each. A block's terms and weights are broadcast.
+SPARSE_BLOCK = 1_000
+_WORD = re.compile(r"\w+")
+
+
+def _postings(docs: DataFrame, doc_id: str, text: str, vocab) -> DataFrame:
+    """(did, dl, ts, tfs): length of each document and counts of those of its terms that the queries have."""
+
+    @F.pandas_udf("dl int, ts array<int>, tfs array<int>")
+    def count(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        number = vocab.value
+        for s in it:
+            rows = []
+            for t in s:
+                w = _WORD.findall(t) if t else []
+                c = Counter(i for i in map(number.get, w) if i is not None)
+                rows.append((len(w), list(c), list(c.values())))
+            yield pd.DataFrame(rows, columns=["dl", "ts", "tfs"])
+
+    d = spread(docs.select(F.col(doc_id).alias("did"), F.col(text).alias("_t")))
+    return d.select("did", count(F.lower("_t")).alias("p")).select("did", "p.*")
+
+
+def _score_block(q: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    spark = q.sparkSession
+    rows = q.select("qid", "t").collect()  # at most SPARSE_BLOCK queries' terms
+    qids = sorted({r.qid for r in rows})
+    at = {x: i for i, x in enumerate(qids)}
+    vocab = {t: i for i, t in enumerate(sorted({r.t for r in rows}))}
+    having: list[list[int]] = [[] for _ in vocab]
+    for r in rows:
+        having[vocab[r.t]].append(at[r.qid])
+    post = cut(_postings(docs, doc_id, text, spark.sparkContext.broadcast(vocab)))
+    n, avg = post.agg(F.count("*"), F.avg("dl")).first()
+    df = np.zeros(len(vocab))
+    for r in post.select(F.explode("ts").alias("t")).groupBy("t").count().collect():  # at most the block's terms
+        df[r.t] = r["count"]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shared = spark.sparkContext.broadcast((qids, [np.array(h) for h in having], idf, avg))
+    kind = dict(docs.dtypes)[doc_id]
+
+    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, having, idf, avg = shared.value
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * len(qids)
+        for pdf in it:
+            for lo in range(0, len(pdf), 2_000):
+                part = pdf.iloc[lo : lo + 2_000]
+                sizes = np.array([len(t) for t in part["ts"]])
+                if not sizes.sum():
+                    continue
+                doc = np.repeat(np.arange(len(part)), sizes)
+                ts, tf = np.concatenate(part["ts"].tolist()), np.concatenate(part["tfs"].tolist()).astype(float)
+                dl = part["dl"].to_numpy()[doc]
+                w = idf[ts] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
+                scores = np.zeros((len(qids), len(part)))
+                order = np.argsort(ts, kind="stable")
+                ts, doc, w = ts[order], doc[order], w[order]
+                ends = np.flatnonzero(np.concatenate([ts[1:] != ts[:-1], [True]])) + 1
+                start = 0
+                for e in ends:
+                    scores[np.ix_(having[ts[start]], doc[start:e])] += w[start:e]
+                    start = e
+                ids = part["did"].to_numpy()
+                for i in range(len(qids)):
+                    got = np.flatnonzero(scores[i])
+                    if len(got):
+                        s, d = np.concatenate([kept[i][0], scores[i][got]]), np.concatenate([kept[i][1], ids[got]])
+                        best = sorted(range(len(s)), key=lambda j: (-round(s[j], 9), d[j]))[:k] if len(s) <= 4 * k else _best(s, d, k)
+                        kept[i] = s[best], d[best]
+        out = [(q, d, float(s)) for q, (ss, ds) in zip(qids, kept, strict=True) for s, d in zip(ss, ds, strict=True)]
+        if out:
+            yield pd.DataFrame(out, columns=["qid", "did", "score"])
+
+    return post.mapInPandas(score, f"qid {dict(q.dtypes)['qid']}, did {kind}, score double")
+
+
+def _best(s: np.ndarray, d: np.ndarray, k: int) -> list[int]:
+    """Positions of the k largest scores, to nine places, ties to the smaller id: those that may be among them first, then in order."""
+    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-8)
+    return sorted(near.tolist(), key=lambda j: (-round(s[j], 9), d[j]))[:k]
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "id", query: str = "query") -> DataFrame:
     """(query, doc, score, rank): top k documents of each query by BM25 over distinct query terms.
 
-    Counts and lengths are of all documents. Terms that no query has are dropped before the postings are shuffled; document
-    lengths come from the same pass. Null texts are documents of length 0. Ties go to the smaller document id.
+    A stated query set against all documents. Terms are counted in one pass over the whole texts; counts and lengths are of all documents.
+    Each task scores its documents and keeps its own best k per query, so no row per (query, document) is ever shuffled. Null texts are
+    documents of length 0, null ids of queries are left out. Ties go to the smaller document id.
     """
-    q = queries.where(F.col(query).isNotNull()).select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(terms(F.col(query)))).alias("t"))
+    q = queries.where(F.col(query).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(terms(F.col(query)))).alias("t")).distinct()
     q = cut(q)
-    vocab = maybe_broadcast(q.select("t").distinct())
-    d = docs.select(F.col(doc_id).alias("did"), F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("w"))
-    stats = d.agg(F.count("*").alias("N"), F.avg(F.size("w")).alias("avgdl"))
-    post = d.select("did", F.size("w").alias("dl"), F.explode_outer("w").alias("t")).join(vocab, "t", "left_semi").groupBy("did", "dl", "t").agg(F.count("*").alias("tf"))
-    post = cut(post)
-    df = post.groupBy("t").agg(F.count("*").alias("df"))
-    w = post.join(df, "t").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = w.select("t", "did", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
-    s = w.join(maybe_broadcast(q), "t").groupBy("qid", "did").agg(F.sum("w").alias("score"))
-    return top_per_group(s, ["qid"], [F.round("score", 9).desc(), F.col("did")], k)
+    blocks = max(1, -(-q.select("qid").distinct().count() // SPARSE_BLOCK))
+    out = None
+    for i in range(blocks):
+        part = _score_block(q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i), docs, k, doc_id, text)
+        out = part if out is None else out.unionByName(part)
+    return top_per_group(out, ["qid"], [F.round("score", 9).desc(), F.col("did")], k)
 
 
 def dot(a: str, b: str) -> Column:
