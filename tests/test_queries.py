@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 from weftspark.plans import registry
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 
 def norm(pdf):
     cols = sorted(pdf.columns)
-    return cols, sorted((tuple(("%.9g" % x if isinstance(x, float) else str(x)) if x is not None and x == x else None for x in r) for r in pdf[cols].astype(object).itertuples(index=False)), key=str)
+    return cols, sorted((tuple(("%.9g" % x if isinstance(x, float) else str(x)) if not pd.api.types.is_scalar(x) or not pd.isna(x) else None for x in r) for r in pdf[cols].astype(object).itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")

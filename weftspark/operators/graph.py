@@ -156,25 +156,33 @@ def merge_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     return e.join(a, F.col("dst") == F.col("other"), "left").select("src", "type", F.coalesce("canon", "dst").alias("dst")).distinct()
 
 
-def depths(edges: DataFrame) -> DataFrame:
-    """(id, depth): the longest path from a source to each node of an acyclic graph. Each round takes away the nodes with no edges in from nodes that are left, and the round is their depth; nodes left when none can be taken lie on or behind a cycle, which is refused."""
+def depths(edges: DataFrame, cycles: str = "error") -> DataFrame:
+    """(id, depth): the longest path from a source to each node. Each round takes away the nodes with no edges in from nodes that are left, and the round is their depth.
+
+    Nodes left when none can be taken lie on or behind a cycle: they are refused, or with cycles='partial' get one more than the deepest node taken
+    away that leads to them, else 0. A round reads the nodes that are left and the edges of those taken away; depths are put together at the end.
+    """
     e = cut(edges.select("src", "dst").distinct())
     into = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("left"))
     nodes = e.select(F.col("src").alias("id")).unionAll(e.select(F.col("dst").alias("id"))).distinct()
-    waiting = nodes.join(into, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left"))
-    lab = cut(waiting.select("id", "left", F.when(F.col("left") == 0, 0).alias("depth")))
-    at = 0
+    left = cut(nodes.join(into, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left")))
+    done, at = None, 0
     while True:
-        front = lab.where(F.col("depth") == at)
+        front = cut(left.where("left = 0").select("id", F.lit(at).alias("depth")))
         if not front.limit(1).count():
             break
-        at += 1
+        done = front if done is None else done.unionByName(front)
         gone = front.join(e, front.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("gone"))
-        step = lab.join(gone, "id", "left").select("id", (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left"), "depth")
-        lab = cut(step.select("id", "left", F.coalesce("depth", F.when(F.col("left") == 0, at)).alias("depth")))
-    if lab.where("depth is null").limit(1).count():
-        raise ValueError("the graph has a cycle; its nodes have no depth")
-    return lab.select("id", "depth")
+        left = cut(left.where("left > 0").join(gone, "id", "left").select("id", (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left")))
+        at += 1
+    if left.limit(1).count():
+        if cycles != "partial":
+            raise ValueError("the graph has a cycle; its nodes have no depth")
+        if done is None:
+            return left.select("id", F.lit(0).alias("depth"))
+        led = done.join(e, done.id == e.src).groupBy(F.col("dst").alias("id")).agg((F.max("depth") + 1).alias("depth"))
+        done = done.unionByName(left.join(led, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth")))
+    return done if done is not None else left.select("id", F.lit(0).alias("depth"))
 
 
 def fan(edges: DataFrame) -> DataFrame:

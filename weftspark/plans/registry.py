@@ -730,6 +730,6 @@ def stream_ingest(s, d):
 
 # --- queries in modules of their own -----------------------------------------------------------------------------------
 
-from weftspark.plans import retrieval, triples  # noqa: E402
+from weftspark.plans import features, retrieval, triples  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "retrieval", "triples"]
+__all__ = ["ORACLES", "QUERIES", "features", "retrieval", "triples"]
