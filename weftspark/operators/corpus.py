@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.util import cut, spread
+from weftspark.util import cut, maybe_broadcast, spread
 
 # fixed values: content types by file extension
 EXTENSIONS = {
@@ -121,17 +121,53 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
 
 
 def contamination(corpus: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, item_text: str, threshold: float = 0.7, containment: bool = False) -> DataFrame:
-    """(id, item_id, inter, uni): for each corpus row, its item of highest Jaccard (or containment of the item) of word 5-grams, if at least the threshold. Ties go to the smaller item id. Rows without words match nothing."""
-    it = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w")).select("item_id", shingles(F.col("w"), 5, True).alias("s"))
-    it = it.select("item_id", F.size("s").alias("ni"), F.explode_outer("s").alias("g"))
-    c = corpus.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text)).alias("w")).select("id", shingles(F.col("w"), 5, True).alias("s"))
-    c = c.select("id", F.size("s").alias("nc"), F.explode_outer("s").alias("g"))
-    j = c.join(it, "g").groupBy("id", "nc", "item_id", "ni").agg(F.count("*").alias("inter"))
+    """(id, item_id, inter, uni): for each corpus row, its item of highest Jaccard (or containment of the item) of word 5-grams, if at least the threshold. Ties go to the smaller item id. Rows without words match nothing.
+
+    5-grams are 64-bit hashes. Only those that some item has leave a corpus row: rows are filtered against the items' hashes, broadcast while they
+    are counted to be few, before anything is grouped.
+    """
+    hashed = lambda d, i, t: d.where(F.col(t).isNotNull()).select(F.col(i).alias("_i"), words(F.col(t)).alias("w")).select("_i", F.transform(shingles(F.col("w"), 5, True), lambda x: F.xxhash64(x)).alias("s"))
+    it = cut(hashed(items, item_id, item_text).select(F.col("_i").alias("item_id"), F.size("s").alias("ni"), F.explode_outer("s").alias("g")))
+    c = hashed(spread(corpus.select(id_col, text)), id_col, text).select(F.col("_i").alias("id"), F.size("s").alias("nc"), F.explode_outer("s").alias("g"))
+    j = c.join(maybe_broadcast(it), "g").groupBy("id", "nc", "item_id", "ni").agg(F.count("*").alias("inter"))
     j = j.withColumn("uni", F.col("ni").cast("long") if containment else F.col("nc") + F.col("ni") - F.col("inter"))
     best = j.where(F.col("inter") >= threshold * F.col("uni") - 1e-9).groupBy("id").agg(F.min(F.struct((-F.col("inter") / F.col("uni")).alias("r"), "item_id", "inter", F.col("uni").cast("long").alias("uni"))).alias("b"))
     return best.select(F.col("id").alias(id_col), "b.item_id", "b.inter", "b.uni")
 
 
+def content_id(text: Column) -> Column:
+    """The first 16 hex digits of a text's sha256."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def tree_checksums(files: DataFrame, source: str, path: str, text: str) -> DataFrame:
+    """(source, files, checksum): one checksum per source over its files in the order of their paths, by folder: a folder's is that of its files' hashes, a source's that of its folders'. Copies of a path count once, by their smallest hash."""
+    f = files.where(F.col(path).isNotNull()).groupBy(F.col(source).alias("source"), F.col(path).alias("path")).agg(F.min(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("h"))
+    ordered = lambda key: F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"])), 256)
+    folders = f.groupBy("source", F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("files"), ordered("path").alias("h"))
+    return folders.groupBy("source").agg(F.sum("files").alias("files"), F.substring(ordered("folder"), 1, 16).alias("checksum"))
+
+
+def by_extension(files: DataFrame, path: str) -> DataFrame:
+    """(ext, files, first, last): how many files of each extension there are, and the first and last path. Files themselves are looked up by a partition or filter on the extension."""
+    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return files.where(F.col(path).isNotNull()).select(path).distinct().groupBy(ext.alias("ext")).agg(F.count("*").alias("files"), F.min(path).alias("first"), F.max(path).alias("last"))
+
+
+def surviving(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that aren't copies of an earlier one."""
+    gone = exact_duplicates(docs, id_col, text).where("is_duplicate").select(id_col)
+    return docs.join(gone, id_col, "left_anti")
+
+
+def duplicate_accounts(every: DataFrame, exact: DataFrame, near: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row: rows, exact copies, near copies that are no exact ones, all removed, kept, and the share removed in percent. exact and near are tables of ids."""
+    e, n = exact.select(id_col).distinct(), near.select(id_col).distinct()
+    c = lambda d, name: d.agg(F.count("*").alias(name))
+    a = c(every.select(id_col).distinct(), "docs").crossJoin(c(e, "exact")).crossJoin(c(n.join(e, id_col, "left_anti"), "near_only")).crossJoin(c(e.unionByName(n).distinct(), "removed"))
+    return a.select("*", (F.col("docs") - F.col("removed")).alias("kept"), (100.0 * F.col("removed") / F.greatest("docs", F.lit(1))).alias("removed_pct"))
+
+
 def union_manifests(a: DataFrame, b: DataFrame, blanks: bool = True) -> DataFrame:
     """b's rows in a's schema: absent columns are null, others dropped, values as text; None and nan become blank."""
     text = lambda d: d.select(*(F.col(c).cast("string") for c in d.columns))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.operators.extract import DRC, ENDPOINT, MODULE, PERIOD, SLACK, UNITS, needs_model
+from weftspark.util import spread
 
 # fixed values: tools whose versions are looked for, and what is looked for beside the patterns of extract
 TOOLS = "OpenROAD Yosys OpenSTA TritonRoute OpenDP KLayout".split()
@@ -109,7 +110,7 @@ def name_triples(path: Column, text: Column) -> Column:
 
 def extract_triples(texts: DataFrame, path: str, text: str, least: int = 50, tools: list[str] = TOOLS) -> DataFrame:
     """One row per triple, with source_file: patterns and names of each text of at least so many characters. All branches are arrays of one pass; a null path or text gives none."""
-    t = texts.where(F.col(path).isNotNull() & (F.length(text) >= least)).select(F.col(path).alias("_p"), F.col(text).alias("_x"))
+    t = spread(texts.where(F.col(path).isNotNull() & (F.length(text) >= least)).select(F.col(path).alias("_p"), F.col(text).alias("_x")))
     p, x = F.col("_p"), F.col("_x")
     return t.select("_p", F.explode_outer(F.concat(pattern_triples(p, x, tools), name_triples(p, x))).alias("t")).where("t is not null").select("t.*", p.alias("source_file"))
 

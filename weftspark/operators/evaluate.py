@@ -8,12 +8,66 @@ from pyspark.sql import functions as F
 
 def rollup(results: DataFrame, dims: list[str], measures: dict[str, Column]) -> DataFrame:
     """Measures by each dimension alone and over all, in one pass: grouping sets. level is the dimension's name, or all."""
-    keys = ", ".join(dims)
-    sets = ", ".join([*(f"({d})" for d in dims), "()"])
-    results.select(*dims, *(m.alias(n) for n, m in measures.items())).createOrReplaceTempView("_weft_rollup")
-    level = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dims) + " ELSE 'all' END"
-    aggs = ", ".join(f"avg({n}) AS {n}" for n in measures)
-    return results.sparkSession.sql(f"SELECT {level} AS level, coalesce({keys}) AS key, count(*) AS n, {aggs} FROM _weft_rollup GROUP BY {keys} GROUPING SETS ({sets})")
+    d = results.select(*dims, *(m.alias(n) for n, m in measures.items()))
+    level = F.lit("all")
+    for x in reversed(dims):
+        level = F.when(F.grouping(x) == 0, x).otherwise(level)
+    sets = [*([F.col(x)] for x in dims), []]
+    return d.groupingSets(sets, *dims).agg(level.alias("level"), F.count("*").alias("n"), *(F.avg(n).alias(n) for n in measures)).select("level", F.coalesce(*dims).alias("key"), "n", *measures)
+
+
+def set_precision(expected: Column, got: Column, empty: float | None = 1.0) -> Column:
+    """Share of distinct values got that are expected, letter case aside; without expectations as `empty`, without any got 0."""
+    low = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), F.lower))
+    e, g = low(expected), low(got)
+    return F.when(F.size(e) == 0, F.lit(empty).cast("double")).when(F.size(g) == 0, 0.0).otherwise(F.size(F.array_intersect(e, g)) / F.size(g))
+
+
+def dimension_means(rows: DataFrame, dims: list[str], judged: Column) -> DataFrame:
+    """(dimension, n, mean, p10) over judged rows: a missing score counts as 0 in the mean; p10 is sorted[n // 10] of the scores above 0."""
+    from weftspark.operators.ranks import value_counts
+
+    x = rows.where(judged).select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("score")) for d in dims))).alias("x")).select("x.*")
+    a = x.groupBy("dimension").agg(F.count("*").alias("n"), F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
+    c = value_counts(x.where("score > 0"), ["dimension"], "score")
+    low = c.groupBy("dimension").agg(F.min(F.when(F.col("upto") > F.floor(F.col("total") / 10), F.col("score"))).alias("p10"))
+    return a.join(low, "dimension", "left")
+
+
+def grounded_means(rows: DataFrame, group: str, score: str) -> DataFrame:
+    """(group, n, grounded, mean): the mean over rows that have a score at all."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.count(score).alias("grounded"), F.avg(score).alias("mean"))
+
+
+def rate_pct(part: Column, whole: Column, places: int = 4) -> Column:
+    return F.round(100.0 * part / F.greatest(whole, F.lit(1)), places)
+
+
+def progress(rows: DataFrame, bucket: Column, measures: dict[str, Column]) -> DataFrame:
+    """(bucket, n, done, and each measure so far): running sums over buckets of rows, not over rows."""
+    from pyspark.sql import Window as W
+
+    g = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), *(F.sum(m).alias(k) for k, m in measures.items()))
+    w = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)  # one row per bucket
+    return g.select("bucket", "n", F.sum("n").over(w).alias("done"), *(F.sum(k).over(w).alias(k) for k in measures))
+
+
+def best_checkpoint(log: DataFrame, group: list[str], step: str, error: str) -> DataFrame:
+    """The step of smallest error per run, the first on ties; null and NaN errors are none."""
+    e = F.when(~F.isnan(error), F.col(error))
+    return log.where(e.isNotNull()).groupBy(*group).agg(F.min(F.struct(e.alias("e"), F.col(step).alias("s"))).alias("b")).select(*group, F.col("b.s").alias(step), F.col("b.e").alias(error))
+
+
+def early_stops(log: DataFrame, run: str, step: str, error: str, patience: int) -> DataFrame:
+    """Per logged step: the best error so far, steps since it, and whether training stops there (first step with `patience` steps without a better one). A run's log is one window: a row per step."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(run).orderBy(step)
+    past = w.rowsBetween(W.unboundedPreceding, 0)
+    x = log.withColumn("best", F.min(error).over(past)).withColumn("_at", F.row_number().over(w))
+    x = x.withColumn("_better", F.coalesce(F.col("best") < F.lag("best").over(w), F.lit(True))).withColumn("since", F.col("_at") - F.max(F.when(F.col("_better"), F.col("_at"))).over(past))
+    first = F.min(F.when(F.col("since") >= patience, F.col("_at"))).over(W.partitionBy(run))
+    return x.withColumn("stops", F.coalesce(F.col("_at") == first, F.lit(False))).select(run, step, error, "best", "since", "stops")
 
 
 def set_recall(expected: Column, got: Column, empty: float | None = 1.0) -> Column:

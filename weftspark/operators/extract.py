@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.util import cut, maybe_broadcast
+
 # fixed values: what is looked for
 SLACK = r"(?i)(?:slack|WNS|TNS)\s*[=:]\s*([+-]?\d+\.?\d*)\s*(ps|ns)"
 SLACK_STATUS = r"slack\s+\((VIOLATED|MET)\)\s+(-?\d+\.?\d*)"
@@ -31,19 +33,20 @@ def tool_versions(df: DataFrame, id_col: str, text: str, tools: list[str]) -> Da
 
 def path_pairs(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, startpoint, endpoint): start and end points paired by position in their text."""
-    m = matches(df, id_col, text, ENDPOINT, {"pin": 1})
     pins = F.regexp_extract_all(text, F.lit(ENDPOINT), F.lit(1))
     idx = F.sequence(F.lit(0), F.floor(F.size("p") / 2).cast("int") - 1)
     d = df.where(F.col(text).isNotNull()).select(id_col, pins.alias("p")).where(F.size("p") >= 2)
-    del m
     return d.select(id_col, F.explode(F.transform(idx, lambda i: F.struct(F.get("p", i * 2).alias("startpoint"), F.get("p", i * 2 + 1).alias("endpoint")))).alias("x")).select(id_col, "x.*")
 
 
-def needs_model(path: Column, text: Column, chars: int = 200) -> Column:
-    """Whether a text would go to a model: forum-like path, or guide-like name, and long enough."""
+def needs_model(path: Column, text: Column, chars: int = 200, covered: Column | None = None, most_covered: float = 0.6) -> Column:
+    """Whether a text would go to a model: forum-like path, or guide-like name, long enough, and patterns cover less than a share of it. covered: characters that patterns have taken as evidence, by default none."""
     p = F.lower(path)
     kind = p.rlike("forum|discussion|issue|qa_pair") | F.element_at(F.split(p, "/"), -1).rlike(r"readme|doc|guide|tutorial|\.md|\.rst")
-    return F.coalesce(kind & (F.length(text) >= chars), F.lit(False))
+    ok = kind & (F.length(text) >= chars)
+    if covered is not None:
+        ok = ok & (F.coalesce(covered, F.lit(0)) < most_covered * F.length(text))
+    return F.coalesce(ok, F.lit(False))
 
 
 def resolve_id(label: Column, raw: Column, design: Column, version: Column) -> Column:
@@ -76,7 +79,7 @@ def resolve(triples: DataFrame, entities: DataFrame) -> DataFrame:
     Distinct designs and versions are matched against the aliases (a design either way round, a version where an alias is
     contained), so the theta join is over distinct ids and a reference list. A triple that changes has confidence 0.7 at most.
     """
-    al = F.broadcast(alias_table(entities)) if entities.limit(10_001).count() <= 10_000 else alias_table(entities)
+    al = maybe_broadcast(cut(alias_table(entities)), 10_000)
     ends = triples.select(F.explode(F.array(*(F.struct(F.col(f"{x}_label").alias("label"), F.col(f"{x}_id").alias("raw")) for x in ("subject", "object")))).alias("e")).select("e.*").where("label in ('Design', 'Version') and raw is not null").distinct()
     low = F.lower(F.trim("raw"))
     look = F.when(F.col("label") == "Design", F.regexp_replace(F.regexp_replace(low, "design_", ""), "_", "")).otherwise(F.regexp_replace(F.regexp_replace(low, "tool_", ""), "version_", ""))
@@ -121,15 +124,20 @@ def audit(triples: DataFrame) -> DataFrame:
     empty = (F.coalesce(s, F.lit("")) == "") | (F.coalesce(o, F.lit("")) == "")
     gen = lambda c: F.regexp_replace(F.lower(c), "^_+|_+$", "").isin(GENERIC) | (F.length(c) < 3)
     odd = ~F.coalesce(p.isin(KNOWN_PREDICATES), F.lit(False))
-    poor = (F.length(s) > 100) | (F.length(o) > 100) | s.rlike("^[a-f0-9]{32,}$") | o.rlike("^[a-f0-9]{32,}$")
+    long, hashed = lambda c: F.length(c) > 100, lambda c: c.rlike("^[a-f0-9]{32,}$")
+    poor = long(s) | long(o) | hashed(s) | hashed(o)
     verdict = F.when(empty, "WRONG").when(gen(s) | gen(o), "WRONG").when(odd | poor, "UNCERTAIN").otherwise("CORRECT")
     label = lambda c, want: (F.coalesce(c, F.lit("")) != "") & ~c.isin(*want)
+    says = lambda when, head, c: F.when(when, F.concat(F.lit(head), c))
+    sl, ol, src = F.col("subject_label"), F.col("object_label"), F.coalesce("source_file", F.lit(""))
+    # fixed values: the notes' wording
     note = F.concat_ws(
-        "; ", F.when(gen(s), F.concat(F.lit("generic_subject:"), s)), F.when(gen(o), F.concat(F.lit("generic_object:"), o)), F.when(odd, F.concat(F.lit("unknown_predicate:"), F.coalesce(p, F.lit("")))),
-        F.when((p == "FIXES") & label(F.col("subject_label"), ["Fix"]), F.concat(F.lit("subject_label:"), F.col("subject_label"))), F.when((p == "FIXES") & label(F.col("object_label"), ["Violation"]), F.concat(F.lit("object_label:"), F.col("object_label"))),
-        F.when((p == "CAUSES") & label(F.col("object_label"), ["Violation", "Bug", "Error"]), F.concat(F.lit("target_label:"), F.col("object_label"))), F.when(F.coalesce("source_file", F.lit("")) == "", "no_source_file"),
+        "; ", says(gen(s), "generic_subject:", s), says(gen(o), "generic_object:", o), says(odd, "unknown_predicate:", F.coalesce(p, F.lit(""))),
+        says((p == "FIXES") & label(sl, ["Fix"]), "expected_Fix_label_got:", sl), says((p == "FIXES") & label(ol, ["Violation"]), "expected_Violation_label_got:", ol), says((p == "CAUSES") & label(ol, ["Violation", "Bug", "Error"]), "CAUSES_target_label:", ol),
+        F.when(long(s), "subject_id_too_long"), F.when(hashed(s), "subject_looks_like_hash"), F.when(long(o), "object_id_too_long"), F.when(hashed(o), "object_looks_like_hash"),
+        F.when(src == "", "no_source_file").when((F.col("extraction_tier") == 3) & F.contains(src, F.lit("forum_llm")), "forum_llm_source"),
     )
-    return triples.select("triple_id", verdict.alias("verdict"), F.when(empty, "empty id").when(note == "", "auto_pass").otherwise(note).alias("notes"))
+    return triples.select("triple_id", verdict.alias("verdict"), F.when(empty, "Empty subject or object ID").when(note == "", "auto_pass").otherwise(note).alias("notes"))
 
 
 def audit_precision(audited: DataFrame, triples: DataFrame) -> DataFrame:

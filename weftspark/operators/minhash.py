@@ -30,17 +30,12 @@ def signature(hashes: np.ndarray, n: int = PERMUTATIONS, seed: int = 1) -> np.nd
     return least
 
 
-def bands(threshold: float, n: int = PERMUTATIONS) -> tuple[int, int]:
-    """(bands, rows per band) of least summed share of false positives below and false negatives above the threshold."""
-    x = np.linspace(0, 1, 1001)
-    best, out = np.inf, (1, n)
-    for r in range(1, n + 1):
-        for b in range(1, n // r + 1):
-            meet = 1 - (1 - x**r) ** b
-            loss = meet[x < threshold].sum() + (1 - meet[x >= threshold]).sum()
-            if loss < best - 1e-9:
-                best, out = loss, (b, r)
-    return out
+def bands(threshold: float, n: int = PERMUTATIONS, recall: float = 0.99) -> tuple[int, int]:
+    """(bands, rows per band): the longest rows with which sets of the threshold's similarity still meet with this chance. What is more alike meets more surely; what is less alike is sorted out by the exact check."""
+    for r in range(n, 0, -1):
+        if 1 - (1 - threshold**r) ** (n // r) >= recall:
+            return n // r, r
+    return n, 1
 
 
 def signatures(sets: DataFrame, id_col: str, hashes: str, n: int = PERMUTATIONS, seed: int = 1) -> DataFrame:

@@ -17,7 +17,7 @@ def hash_rank(df: DataFrame, group: list[str], ids: list[str], seed: int = 42, n
     d = df.withColumn("_h", hash_key(seed, *ids)).withColumn("_b", F.substring("_h", 1, 3))
     keys = {f"_g{i}": g for i, g in enumerate([*group, "_b"])}
     n = d.groupBy(*(F.col(g).alias(k) for k, g in keys.items())).count()
-    w = W.partitionBy(*list(keys)[:-1]).orderBy(list(keys)[-1]).rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*list(keys)[:-1]).orderBy(list(keys)[-1]).rowsBetween(W.unboundedPreceding, -1)  # 4,096 rows per group
     before = n.withColumn("_before", F.coalesce(F.sum("count").over(w), F.lit(0))).drop("count")
     on = F.lit(True)
     for k, g in keys.items():

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.operators.ranks import hash_rank
+from weftspark.util import maybe_broadcast
 
 
 def stratified_split(df: DataFrame, stratum: str, ids: list[str], shares: tuple[float, float] = (0.8, 0.1), seed: int = 42) -> DataFrame:
@@ -50,7 +51,7 @@ def assemble(pools: list[DataFrame], group: str, target: dict[str, int], ids: li
     sizes = u.groupBy(F.col(group).alias("_g"), F.col("pool").alias("_p")).agg(F.count("*").alias("_n"))
     before = sizes.alias("a").join(sizes.alias("b"), (F.col("a._g") == F.col("b._g")) & (F.col("b._p") < F.col("a._p")), "left").groupBy("a._g", "a._p").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
     t = F.create_map(*(F.lit(x) for kv in target.items() for x in kv))
-    j = u.join(F.broadcast(before), (F.col(group) == F.col("_g")) & (F.col("pool") == F.col("_p")))
+    j = u.join(maybe_broadcast(before), (F.col(group) == F.col("_g")) & (F.col("pool") == F.col("_p")))
     return j.withColumn("place", F.col("_before") + F.col("_r")).where(F.col("place") <= t[F.col(group)]).drop("_g", "_p", "_before", "_r")
 
 
@@ -62,7 +63,7 @@ def needs(target: DataFrame, have: DataFrame, group: str) -> DataFrame:
 
 def leave_one_out(df: DataFrame, group: str, folds: DataFrame) -> DataFrame:
     """(fold, ..., part): for each fold, rows of its group are test, the others train. folds is a stated, small list."""
-    return df.crossJoin(F.broadcast(folds.select(F.col(group).alias("fold")))).withColumn("part", F.when(F.col(group) == F.col("fold"), "test").otherwise("train"))
+    return df.crossJoin(maybe_broadcast(folds.select(F.col(group).alias("fold")))).withColumn("part", F.when(F.col(group) == F.col("fold"), "test").otherwise("train"))
 
 
 def sweep(designs: DataFrame, design: str = "design", steps: int = 11, first: float = 2.0, step: float = 0.4) -> DataFrame:
@@ -71,3 +72,18 @@ def sweep(designs: DataFrame, design: str = "design", steps: int = 11, first: fl
     c = designs.select(design).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).select(design, clock.alias("clock_ns"))
     name = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", F.col("clock_ns")), "0+$", ""), r"\.$", "")
     return c.withColumn("variant", F.concat(F.lit("clk_"), F.regexp_replace(name, r"\.", "p")))
+
+
+def native_sweep(designs: DataFrame, design: str, native: str, multipliers: tuple[float, ...] = (0.8, 0.9, 1.0, 1.1, 1.25, 1.5)) -> DataFrame:
+    """(design, clock_ns, variant): every design at multiples of its own clock, to three places."""
+    c = designs.select(design, native).distinct().withColumn("m", F.explode(F.array(*map(F.lit, multipliers)))).select(design, F.round(F.col(native) * F.col("m"), 3).alias("clock_ns"))
+    name = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", F.col("clock_ns")), "0+$", ""), r"\.$", "")
+    return c.withColumn("variant", F.concat(F.lit("clk_"), F.regexp_replace(name, r"\.", "p")))
+
+
+def priority_sample(df: DataFrame, first: Column, ids: list[str], most_first: int, size: int, seed: int = 42) -> DataFrame:
+    """(ids, first): at most so many rows that come first, in hash order, and of the others as many as fill the sample."""
+    d = df.select(*ids, F.coalesce(first, F.lit(False)).alias("first"))
+    r = hash_rank(d, ["first"], ids, seed, "_r").where((F.col("first") & (F.col("_r") <= most_first)) | (~F.col("first") & (F.col("_r") <= size)))
+    n = d.where("first").limit(most_first).agg(F.count("*").alias("_n"))
+    return r.crossJoin(F.broadcast(n)).where(F.col("first") | (F.col("_r") <= size - F.col("_n"))).drop("_r", "_n")

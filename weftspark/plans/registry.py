@@ -223,9 +223,10 @@ _S, _O = _GEN.format(c="subject_id"), _GEN.format(c="object_id")
 _ODD = f"NOT coalesce(predicate IN {_in(extract.KNOWN_PREDICATES)}, false)"
 _EMPTY = "coalesce(subject_id, '') = '' OR coalesce(object_id, '') = ''"
 _AUDIT = f"""SELECT triple_id, predicate, CASE WHEN {_EMPTY} OR {_S} OR {_O} THEN 'WRONG' WHEN {_ODD} OR length(subject_id) > 100 OR length(object_id) > 100 OR regexp_matches(subject_id, '^[a-f0-9]{{32,}}$') OR regexp_matches(object_id, '^[a-f0-9]{{32,}}$') THEN 'UNCERTAIN' ELSE 'CORRECT' END AS verdict,
-CASE WHEN {_EMPTY} THEN 'empty id' ELSE coalesce(nullif(concat_ws('; ', CASE WHEN {_S} THEN 'generic_subject:' || subject_id END, CASE WHEN {_O} THEN 'generic_object:' || object_id END, CASE WHEN {_ODD} THEN 'unknown_predicate:' || coalesce(predicate, '') END,
-CASE WHEN predicate = 'FIXES' AND coalesce(subject_label, '') <> '' AND subject_label <> 'Fix' THEN 'subject_label:' || subject_label END, CASE WHEN predicate = 'FIXES' AND coalesce(object_label, '') <> '' AND object_label <> 'Violation' THEN 'object_label:' || object_label END,
-CASE WHEN predicate = 'CAUSES' AND coalesce(object_label, '') <> '' AND object_label NOT IN ('Violation', 'Bug', 'Error') THEN 'target_label:' || object_label END, CASE WHEN coalesce(source_file, '') = '' THEN 'no_source_file' END), ''), 'auto_pass') END AS notes FROM triples"""
+CASE WHEN {_EMPTY} THEN 'Empty subject or object ID' ELSE coalesce(nullif(concat_ws('; ', CASE WHEN {_S} THEN 'generic_subject:' || subject_id END, CASE WHEN {_O} THEN 'generic_object:' || object_id END, CASE WHEN {_ODD} THEN 'unknown_predicate:' || coalesce(predicate, '') END,
+CASE WHEN predicate = 'FIXES' AND coalesce(subject_label, '') <> '' AND subject_label <> 'Fix' THEN 'expected_Fix_label_got:' || subject_label END, CASE WHEN predicate = 'FIXES' AND coalesce(object_label, '') <> '' AND object_label <> 'Violation' THEN 'expected_Violation_label_got:' || object_label END,
+CASE WHEN predicate = 'CAUSES' AND coalesce(object_label, '') <> '' AND object_label NOT IN ('Violation', 'Bug', 'Error') THEN 'CAUSES_target_label:' || object_label END, CASE WHEN length(subject_id) > 100 THEN 'subject_id_too_long' END, CASE WHEN regexp_matches(subject_id, '^[a-f0-9]{{32,}}$') THEN 'subject_looks_like_hash' END, CASE WHEN length(object_id) > 100 THEN 'object_id_too_long' END, CASE WHEN regexp_matches(object_id, '^[a-f0-9]{{32,}}$') THEN 'object_looks_like_hash' END,
+CASE WHEN coalesce(source_file, '') = '' THEN 'no_source_file' WHEN extraction_tier = 3 AND contains(source_file, 'forum_llm') THEN 'forum_llm_source' END), ''), 'auto_pass') END AS notes FROM triples"""
 
 
 @query(f"SELECT triple_id, verdict, notes FROM ({_AUDIT})")
@@ -730,6 +731,6 @@ def stream_ingest(s, d):
 
 # --- queries in modules of their own -----------------------------------------------------------------------------------
 
-from weftspark.plans import features, retrieval, triples  # noqa: E402
+from weftspark.plans import features, retrieval, small, triples  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "features", "retrieval", "triples"]
+__all__ = ["ORACLES", "QUERIES", "features", "retrieval", "small", "triples"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a local folder is set instead.
+    Only in one JVM (master local) is a local folder set where that is unset; on a cluster without it nothing could be stored safely, which is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there is None:
         there = spark.sparkContext.getCheckpointDir()
     if there is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = os.path.join(tempfile.gettempdir(), "weftspark-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(there)
@@ -51,9 +54,15 @@ def small_rows(df: DataFrame, what: str, max_rows: int = MAX_SMALL_ROWS) -> list
     return rows
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast df if it is counted to be small; else leave the join to shuffle on its key."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def maybe_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = MAX_SMALL_BYTES) -> DataFrame:
+    """Broadcast df if it is counted to be small, in rows and in bytes; else leave the join to shuffle on its key."""
+    size = None
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        n = F.coalesce(F.length(f.name) * 2, F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.size(f.name), F.lit(0)) * 64 if kind in ("array", "map") else F.lit(16)
+        size = n if size is None else size + n
+    n, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and total <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:
