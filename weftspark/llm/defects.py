@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftspark.llm.lang import by_script, detect
-from weftspark.util import cut, maybe_broadcast
+from weftspark.util import cut, maybe_broadcast, spread
 
 #: The order of the rules; where one defect per pair is wanted, the first that fires is it.
 DEFECTS = ("empty", "copies_question", "refusal", "truncated", "other_language")
@@ -251,6 +251,6 @@ def flag_pairs(pairs: DataFrame, id_col: str = "qa_id") -> DataFrame:
     rules = _defects.asNondeterministic()
     marks = maybe_broadcast(cut(statement_marks(pairs, "evidence_span")))
     last = F.element_at(F.split(F.regexp_replace(F.coalesce("answer", F.lit("")), r"\s+$", ""), "\n"), -1)
-    p = pairs.select(F.col(id_col), "question", "answer", "evidence_span", _head(last).alias("head")).join(marks, "head", "left")
+    p = spread(pairs.select(id_col, "question", "answer", "evidence_span")).select(F.col(id_col), "question", "answer", "evidence_span", _head(last).alias("head")).join(marks, "head", "left")
     got = p.select(F.col(id_col), rules("question", "answer", "evidence_span", "marks").alias("defects"))
     return got.where(F.size("defects") > 0).withColumn("defect", F.element_at("defects", 1))

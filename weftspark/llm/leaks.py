@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftspark.util import shared_dir
+from weftspark.util import shared_dir, spread
 
 #: A passage has at least so many words of the item; one word in EDITS of it may be changed, added or dropped.
 MIN_WORDS, EDITS = 12, 8
@@ -380,6 +380,7 @@ def _one_block(corpora: dict[str, tuple[DataFrame, str, tuple[str, ...]]], share
     out = None
     for name, (df, id_col, texts) in corpora.items():
         # fields of a record are read apart: a passage doesn't run from one into the next
+        df = spread(df.select(id_col, *texts))
         rows = df.select(F.col(id_col).alias("record_id"), F.explode(F.array(*texts)).alias("text")) if len(texts) > 1 else df.select(F.col(id_col).alias("record_id"), F.col(texts[0]).alias("text"))
         got = rows.where("text is not null").select(F.lit(name).alias("corpus"), "record_id", F.explode(run("text")).alias("item_id"))
         out = got if out is None else out.unionByName(got)

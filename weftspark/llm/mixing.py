@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from weftspark.llm.tokens import TOKENIZER, lengths
-from weftspark.util import cut, small_rows
+from weftspark.util import cut, small_rows, spread
 
 #: Documents per bucket of keys, on average: no window spans more than about one bucket.
 BUCKET = 2_000
@@ -115,5 +115,5 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, id_col: str =
 
 
 def mix_documents(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    s = documents.select("doc_id", "source", sized(F.col("text"), path).alias("x")).select("doc_id", "source", "x.*")
+    s = spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", sized(F.col("text"), path).alias("x")).select("doc_id", "source", "x.*")
     return mix(s, targets, seed)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from weftspark.llm.tokens import TOKENIZER, count_tokens
-from weftspark.util import cut
+from weftspark.util import cut, maybe_broadcast, spread
 
 CAPACITY = 2048
 #: Upper bounds of the tiers.
@@ -145,10 +145,10 @@ def containers(sized: DataFrame, id_col: str = "doc_id", capacity: int = CAPACIT
     used = placed.groupBy("shard").agg((F.max("box") + 1).alias("boxes"), (F.max("step_group") + 1).alias("groups"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     offset = used.select("shard", F.coalesce(F.sum("boxes").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("groups").over(before), F.lit(0)).alias("g0"))
-    out = placed.join(F.broadcast(offset) if shards <= 100_000 else offset, "shard")
+    out = placed.join(maybe_broadcast(offset), "shard")
     return out.select(F.col("item_id").alias(id_col), F.col("part").cast("int").alias("part"), (F.col("part") * capacity).cast("int").alias("first_token"), "tokens", (F.col("box") + F.col("b0")).alias("container"), "position", (F.col("step_group") + F.col("g0")).alias("step_group"))
 
 
 def pack_documents(documents: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """Documents, sized in tokens of the tokenizer, in containers."""
-    return containers(documents.select("doc_id", count_tokens(F.col("text"), path).alias("tokens")), capacity=capacity)
+    return containers(spread(documents.select("doc_id", "text")).select("doc_id", count_tokens(F.col("text"), path).alias("tokens")), capacity=capacity)

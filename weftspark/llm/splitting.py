@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from weftspark.util import cut as stored
+from weftspark.util import spread
 
 MAX_TOKENS, OVERLAP = 512, 64
 #: Units on each side of a boundary whose words are compared.
@@ -180,7 +181,7 @@ def _split_rows(chunks: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
 
     Texts within the limit are one piece without leaving the JVM; only oversized ones go to Python.
     """
-    c = chunks.where("text is not null").select("source_file", "chunk_id", "chunk_index", "text")
+    c = spread(chunks.where("text is not null").select("source_file", "chunk_id", "chunk_index", "text"))
     whole = F.array(F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("start"), F.lit(0).alias("fresh"), F.length("text").alias("end"), F.lit("end").alias("cut")))
     large = c.where(oversized(F.col("text"), max_tokens)).withColumn("p", _splitter(max_tokens, overlap)("text"))
     small = c.where(~oversized(F.col("text"), max_tokens)).withColumn("p", whole)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftspark.llm.lang import ALIASES, detect
+from weftspark.util import spread
 
 #: Vocabulary file of the tokenizer: a parameter of every operator that counts tokens.
 TOKENIZER = os.environ.get("WEFTSPARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -30,7 +31,7 @@ def encoder(path: str = TOKENIZER):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [enc.encode_ordinary(t) for t in texts]
+        return lambda texts: enc.encode_ordinary_batch(texts, num_threads=1)
     if path.endswith(".model"):
         import sentencepiece
 
@@ -120,7 +121,7 @@ def document_tokens(documents: DataFrame, manifest: DataFrame, path: str = TOKEN
     Language is the one the text shows, else the tag's, else und. source_type is the manifest's, else the document's own.
     recorded is the manifest's token_count, null where none is recorded. A null text has 0 tokens.
     """
-    d = documents.select("doc_id", "source", "lang", "artifact_id", F.col("source_type").alias("own_source_type"), "content_type", "topic", count_and_detect(F.col("text"), path).alias("x"))
+    d = spread(documents.select("doc_id", "source", "lang", "artifact_id", "source_type", "content_type", "topic", "text")).select("doc_id", "source", "lang", "artifact_id", F.col("source_type").alias("own_source_type"), "content_type", "topic", count_and_detect(F.col("text"), path).alias("x"))
     d = d.join(latest_manifest(manifest), "artifact_id", "left")
     return d.select("doc_id", "source", F.coalesce("x.language", tagged_language(F.col("lang")), F.lit("und")).alias("language"), F.coalesce("manifest_source_type", "own_source_type").alias("source_type"), "content_type", "topic", F.col("x.tokens").alias("tokens"), F.col("manifest_tokens").alias("recorded"))
 
@@ -141,7 +142,7 @@ def token_cube(documents: DataFrame, manifest: DataFrame, chunks: DataFrame, pat
     d = document_tokens(documents, manifest, path).groupBy(*DIMENSIONS).agg(*measure)
     d = d.cube(*DIMENSIONS).agg(F.grouping_id().alias("level"), *totals).select(F.lit("documents").alias("corpus"), *DIMENSIONS, F.col("level").cast("int").alias("level"), "items", "tokens", "recorded_items", "recorded_tokens")
     # a chunk's deliveries differ in embedded_at alone: they agree in everything counted here
-    c = chunks.select("chunk_id", "content_type", F.col("token_count").alias("recorded"), F.md5(F.coalesce("text", F.lit(""))).alias("h"), count_tokens(F.coalesce("text", F.lit("")), path).alias("tokens"))
+    c = spread(chunks.select("chunk_id", "content_type", "token_count", "text")).select("chunk_id", "content_type", F.col("token_count").alias("recorded"), F.md5(F.coalesce("text", F.lit(""))).alias("h"), count_tokens(F.coalesce("text", F.lit("")), path).alias("tokens"))
     c = c.groupBy("chunk_id", "h").agg(F.max("content_type").alias("content_type"), F.max("recorded").alias("recorded"), F.max("tokens").alias("tokens"))
     c = c.groupBy("content_type").agg(*measure)
     none = F.lit(None).cast("string")
