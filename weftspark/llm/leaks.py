@@ -377,12 +377,14 @@ def _one_block(corpora: dict[str, tuple[DataFrame, str, tuple[str, ...]]], share
         for s in it:
             yield pd.Series([sorted(x) for x in leaks(s.tolist(), index)], dtype=object)
 
+    # not deterministic to Spark: else a filter on the array's size is inferred and records are searched twice
+    search = run.asNondeterministic()
     out = None
     for name, (df, id_col, texts) in corpora.items():
         # fields of a record are read apart: a passage doesn't run from one into the next
         df = spread(df.select(id_col, *texts))
         rows = df.select(F.col(id_col).alias("record_id"), F.explode(F.array(*texts)).alias("text")) if len(texts) > 1 else df.select(F.col(id_col).alias("record_id"), F.col(texts[0]).alias("text"))
-        got = rows.where("text is not null").select(F.lit(name).alias("corpus"), "record_id", F.explode(run("text")).alias("item_id"))
+        got = rows.where("text is not null").select(F.lit(name).alias("corpus"), "record_id", F.explode(search("text")).alias("item_id"))
         out = got if out is None else out.unionByName(got)
     return out
 
