@@ -111,21 +111,23 @@ def map_values(values: DataFrame, entities: DataFrame, threshold: float = THRESH
     out. A value that equals a canonical name to the letter is that entity with score 1. An empty reference list leaves all
     values UNMATCHED; so do two entities that lie within the margin.
     """
+    # not deterministic to Spark: else filters on the arrays' sizes are inferred and they are computed twice
+    normal, gram = _normal.asNondeterministic(), _grams.asNondeterministic()
     distinct = values.where("value is not null and kind is not null and trim(value) != ''").select("kind", "value").distinct()
     distinct = cut(distinct)
     names = entities.select(F.col("entity_id"), "kind", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null and kind is not null")
-    names = names.select("entity_id", "kind", _normal("name", "kind").alias("n")).select("entity_id", "kind", F.col("n.forms")[0].alias("name"), "n.numbers").distinct()
+    names = names.select("entity_id", "kind", normal("name", "kind").alias("n")).select("entity_id", "kind", F.col("n.forms")[0].alias("name"), "n.numbers").distinct()
     names = cut(names)
     total = names.groupBy("kind").agg(F.count("*").alias("names"))
-    postings = names.withColumn("gram", F.explode(_grams("name")))
+    postings = names.withColumn("gram", F.explode(gram("name")))
     weights = postings.groupBy("kind", "gram").agg(F.count("*").alias("df")).join(total, "kind").select("kind", "gram", F.log1p(F.col("names") / F.col("df")).alias("w"))
     weights = cut(weights)
     postings = postings.join(weights, ["kind", "gram"])
     norms = postings.groupBy("entity_id", "kind", "name", "numbers").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("name_norm"))
     postings = maybe_broadcast(cut(postings.join(norms, ["entity_id", "kind", "name", "numbers"])))
 
-    forms = distinct.select("kind", "value", _normal("value", "kind").alias("n")).select("kind", "value", "n.numbers", F.explode("n.forms").alias("form")).distinct()
-    seen = cut(forms.select("kind", "value", "numbers", "form", F.explode(_grams("form")).alias("gram")))
+    forms = distinct.select("kind", "value", normal("value", "kind").alias("n")).select("kind", "value", "n.numbers", F.explode("n.forms").alias("form")).distinct()
+    seen = cut(forms.select("kind", "value", "numbers", "form", F.explode(gram("form")).alias("gram")))
     # grams that no name has weigh as rare ones
     rare = F.log1p(F.col("names")) * 0.7
     weighed = seen.join(maybe_broadcast(weights), ["kind", "gram"], "left").join(maybe_broadcast(total), "kind", "left").withColumn("w", F.coalesce("w", rare, F.lit(1.0)))
