@@ -73,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": lambda s, d: survivor.provenance(table(s, d, "triples")),
     "p4_survivors": lambda s, d: survivor.survivors(table(s, d, "triples")),
     "p4_truth": lambda s, d: survivor.truth(table(s, d, "triples")),
+    "p4_agreement": lambda s, d: survivor.agreement(table(s, d, "triples"), survivor.truth(table(s, d, "triples"))),
     "p5_found": lambda s, d: splitting.oversized_chunks(table(s, d, "chunks")),
     "p5_pieces": _pieces,
     "p5_checks": _piece_checks,

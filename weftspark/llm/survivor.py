@@ -2,7 +2,7 @@
 
 survivors: one record per group by declared precedence, each field from the first row that has it.
 truth: iterative truth discovery, which estimates the reliability of sources and takes the field values
-of highest support. The first is what p4_found is defined by; see the README for why the second can't give it.
+of highest support. The first is what p4_found is defined by; agreement() measures how often the second differs, see the README.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.util import cut
+from weftspark.util import cut, maybe_broadcast
 
 KEYS = ("subject_id", "predicate", "object_id")
 
@@ -106,7 +106,7 @@ def truth(triples: DataFrame, fields: tuple[str, ...] = ("subject_id", "predicat
     bounded = lambda r: F.least(F.greatest(r, F.lit(0.05)), F.lit(0.95)).alias("r")
     rel = cut(sources.select("src", bounded(F.col("conf") / F.col("all_votes"))))
     for _ in range(rounds):
-        said = contested.join(rel, "src").withColumn("weight", -F.log(1 - F.col("r")) * F.col("conf"))
+        said = contested.join(maybe_broadcast(rel), "src").withColumn("weight", -F.log(1 - F.col("r")) * F.col("conf"))
         support = said.groupBy("group_id", "field", "value").agg(F.sum("weight").alias("support"))
         share = support.join(support.groupBy("group_id", "field").agg(F.sum("support").alias("all")), ["group_id", "field"]).select("group_id", "field", "value", (F.col("support") / F.col("all")).alias("share"))
         won = contested.join(share, ["group_id", "field", "value"]).groupBy("src").agg(F.sum(F.col("share") * F.col("votes")).alias("won"))
@@ -117,6 +117,18 @@ def truth(triples: DataFrame, fields: tuple[str, ...] = ("subject_id", "predicat
             break
     else:
         raise RuntimeError(f"reliabilities still move by {moved} after {rounds} rounds")
-    support = claims.join(rel, "src").groupBy("group_id", "field", "value").agg(F.sum(-F.log(1 - F.col("r")) * F.col("conf")).alias("support"), F.sum("votes").alias("votes"))
+    support = claims.join(maybe_broadcast(rel), "src").groupBy("group_id", "field", "value").agg(F.sum(-F.log(1 - F.col("r")) * F.col("conf")).alias("support"), F.sum("votes").alias("votes"))
     best = support.groupBy("group_id", "field").agg(F.min(F.struct((-F.col("support")).alias("s"), "value", "votes")).alias("b"))
     return best.select("group_id", "field", F.col("b.value").alias("value"), (-F.col("b.s")).alias("support"), F.col("b.votes").alias("votes"))
+
+
+def agreement(triples: DataFrame, elected: DataFrame) -> DataFrame:
+    """(field, groups, differ): in how many groups the value that truth() elects (elected) is another than that of the row which precedence names, by field."""
+    p = provenance(triples)
+    out = None
+    for f, row in (("confidence", "record"), ("source_span", "source_span"), ("properties", "properties")):
+        own = p.where(F.col("field") == row).join(triples.select("triple_id", F.trim(_claimed(triples, f)).alias("own")), "triple_id").select("group_id", "own")
+        j = own.join(elected.where(F.col("field") == f).select("group_id", F.trim("value").alias("value")), "group_id").where("own is not null")
+        n = j.agg(F.lit(f).alias("field"), F.count("*").alias("groups"), F.count_if("own != value").alias("differ"))
+        out = n if out is None else out.unionByName(n)
+    return out
