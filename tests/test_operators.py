@@ -160,7 +160,7 @@ def test_argmax_and_audit(spark):
     t = triples(spark, [(1, "a_x", "Fix", "FIXES", "v_1", "Violation", 0.5, 1, "f", None), (2, "a_x", "Fix", "FIXES", "v_1", "Violation", 0.9, 1, "f", None), (3, "a_x", "Fix", "FIXES", "v_1", "Violation", 0.9, 1, "f", None), (4, "it", "Module", "FIXES", "v_2", "Rule", None, 1, "", None), (5, "", "Fix", "ODD", "x", "Y", 1.0, 1, "f", None), (6, "abc", "Fix", "ODD", "xyz", "Y", 1.0, 1, "f", None)])
     assert [(r.triple_id, r.copies) for r in extract.argmax_dedup(t).where("subject_id = 'a_x'").collect()] == [(2, 3)]
     a = {r.triple_id: (r.verdict, r.notes) for r in extract.audit(t).collect()}
-    assert a[1] == ("CORRECT", "auto_pass") and a[4][0] == "WRONG" and "no_source_file" in a[4][1] and a[5] == ("WRONG", "empty id") and a[6][0] == "UNCERTAIN"
+    assert a[1] == ("CORRECT", "auto_pass") and a[4][0] == "WRONG" and "no_source_file" in a[4][1] and a[5] == ("WRONG", "Empty subject or object ID") and a[6][0] == "UNCERTAIN"
 
 
 def test_graph_merge(spark):
@@ -278,7 +278,9 @@ def test_injection(spark):
     assert "-period 0.25 " in got["setup_violation"] and "-period 2500 " in got["sdc_unit_mismatch"] and "SPACING 10 ;" in got["drc_spacing"]
     assert "\n# create_clock" in "\n" + got["missing_clock"] and got["rtl_port_mismatch"].count("[4:0]") == 1 and "CORE_DENSITY=0.95" in got["ppa_regression"] and "output b, phantom_debug_port)" in got["lvs_mismatch"]
     assert inject.cases(inject.inject(df, "id", "text", "path"), "id", 1).where("family = 'setup_violation'").first().case_id == "setup_violation_0000"
-    assert inject.templates(spark, "f", 5).count() == 5
+    for family in inject.TEMPLATES:
+        made = inject.templates(spark, family, 5).collect()
+        assert len({r.case_id for r in made}) == 5 and all(r.original != r.injected and "{" not in r.source_file for r in made)
 
 
 # --- sources, sinks, streams ----------------------------------------------------------------------------------------------
