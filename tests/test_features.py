@@ -157,3 +157,21 @@ def test_clusters_need_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="checkpoint.dir"):
         util.shared_dir(Session())
+
+
+def test_request_log_and_seed_files(spark, tmp_path):
+    from weftspark.streaming import jobs
+
+    e = spark.createDataFrame([(1, "why?", None, "1.1.1.1, 2.2.2.2"), (2, " ", "9.9.9.9", None)], "id int, query string, real string, forwarded string")
+    e.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    cols = {"id": F.col("id"), "ip": evaluate.client_ip(F.col("real"), F.col("forwarded"), F.lit("host")), "query": evaluate.valid_query(F.col("query"))}
+    for _ in range(2):  # a second start adds nothing
+        jobs.query_log(stream(), cols, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(((r.id, r.ip, r.query) for r in spark.read.parquet(str(tmp_path / "log")).collect()), key=str) == [(1, "1.1.1.1", "why?"), (2, "9.9.9.9", None)]
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("- id: s1\n  question: why\n- id: s2\n")
+    (tmp_path / "b.yaml").write_text("id: one\nquestion: what\n")
+    (tmp_path / "c.yaml").write_text("other: 1\n")
+    got = [[tuple(r) for r in readers.yaml_items(spark, str(tmp_path / f"{n}.yaml"), "id string, question string").collect()] for n in "abc"]
+    assert got == [[("s1", "why"), ("s2", None)], [("one", "what")], []]

@@ -108,6 +108,23 @@ def test_bm25_against_formula(spark, monkeypatch):
         assert sorted(got[q]) == [(k + 1, i, pytest.approx(v, abs=1e-8)) for k, (i, v) in enumerate(want)]
 
 
+def test_dense_and_inverted_file(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).tolist()) for i in range(600)] + [(900, None), (901, [0.0] * 16)]
+    v = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 50 = 0")
+    exact = {(r.qid, r.vid) for r in search.dense(v, q, 10).collect()}
+    blocks = {(r.qid, r.vid) for r in search.dense(v, q, 10, block=4).collect()}
+    m = np.array([e for _, e in x[:600]])
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, j) for i in range(0, 600, 50) for j in sorted((j for j in range(600) if j != i), key=lambda j: (-round(float(m[i] @ m[j]), 9), j))[:10]}
+    assert exact == blocks == want
+    found = {(r.qid, r.vid) for r in search.ivf(v, q, 10, cells=24, probes=6).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    assert search.ivf(v.limit(0), q.limit(0)).count() == 0 and search.dense(v, q.limit(0)).count() == 0
+
+
 # --- MinHash -------------------------------------------------------------------------------------------------------------
 
 

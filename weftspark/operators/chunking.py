@@ -153,6 +153,14 @@ def chunk_files(files: DataFrame, id_col: str = "id", path: str = "path", text:
     return out.join(about, "id").select("id", "content_type", "source_id", "chunk_index", "token_count", "text")
 
 
+def chunk_corpus(files: DataFrame, qa: DataFrame, path: str, text: str, recorded: str, qa_id: str, title: str, body: str, answer: str) -> DataFrame:
+    """Chunks of all files and of all forum pairs in one table; ids begin with what they are of."""
+    f = files.where(F.col(text).isNotNull()).select(F.concat(F.lit("file "), F.md5(F.concat_ws("|", path, text))).alias("id"), path, text, recorded).dropDuplicates(["id"])
+    a = chunk_files(f, "id", path, text, recorded)
+    q = chunk_forum(qa.select(F.concat(F.lit("qa "), F.col(qa_id).cast("string")).alias("id"), title, body, answer), "id", title, body, answer)
+    return a.unionByName(q.select("id", F.lit("forum_qa").alias("content_type"), F.substring(F.md5("id"), 1, 12).alias("source_id"), "chunk_index", "token_count", "text"))
+
+
 def chunk_gate(chunks: DataFrame, limit: int = 512, most_pct: float = 15.0, required: tuple[str, ...] = ("chunk_id", "source_file", "text")) -> DataFrame:
     """One row: chunks, share over the limit in percent, rows that lack a required field, and whether both gates are passed."""
     lacks = F.lit(False)

@@ -23,6 +23,12 @@ def set_precision(expected: Column, got: Column, empty: float | None = 1.0) -> C
     return F.when(F.size(e) == 0, F.lit(empty).cast("double")).when(F.size(g) == 0, 0.0).otherwise(F.size(F.array_intersect(e, g)) / F.size(g))
 
 
+def set_differences(expected: Column, got: Column) -> tuple[Column, Column]:
+    """(missing, unexpected): expected values that aren't got, and the reverse, distinct and sorted."""
+    one = lambda a: F.coalesce(a, F.array().cast("array<string>"))
+    return F.array_sort(F.array_except(one(expected), one(got))), F.array_sort(F.array_except(one(got), one(expected)))
+
+
 def dimension_means(rows: DataFrame, dims: list[str], judged: Column) -> DataFrame:
     """(dimension, n, mean, p10) over judged rows: a missing score counts as 0 in the mean; p10 is sorted[n // 10] of the scores above 0."""
     from weftspark.operators.ranks import value_counts

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftspark.operators.ranks import top_per_group
 
@@ -53,11 +52,6 @@ def run_features(runs: DataFrame) -> DataFrame:
     return last.where("run_status = 'success'").select("artifact_id", "source_name", F.coalesce("cell_area_um2", a["area_um2"]).alias("area_um2"), "freq_mhz", F.coalesce("violation_count", F.lit(0)).alias("violations"), timing_report(F.col("report_text"))["clock_period"].alias("clock_period"))
 
 
-def flat_metrics(text: Column) -> Column:
-    """A flat JSON report as a map of numbers; null for invalid JSON."""
-    return F.from_json(text, T.MapType(T.StringType(), T.DoubleType()))
-
-
 def density_grid(points: DataFrame, x: str, y: str, bins: int, box: tuple[float, float, float, float]) -> DataFrame:
     """(bx, by, n): points per cell of the box (x0, y0, x1, y1); those outside fall into the border cells."""
     x0, y0, x1, y1 = box

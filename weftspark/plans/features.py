@@ -181,3 +181,12 @@ def metric_fill(s, d):
 def design_names(s, d):
     t = table(s, d, "triples").where("object_label = 'Design' and object_id is not null").select("object_id").distinct()
     return t.select("object_id", runs.design_name(F.col("object_id"), ["heron", "plover_uart", "cpu"]).alias("name"))
+
+
+_ESCAPED = "COMPONENTS 1 ;\n- a\\[1\\] BUF + PLACED ( 0 0 ) N ;\nEND COMPONENTS\nPIN ( a[1] Y ) ;"
+
+
+@query(f"SELECT * FROM {values([('x', 'COMPONENTS 1 ;|- a' + chr(92) + '[1' + chr(92) + '] BUF + PLACED ( 0 0 ) N ;|END COMPONENTS|PIN ( a' + chr(92) + '[1' + chr(92) + '] Y ) ;'), ('y', 'plain'), ('z', None)], 'id, text')}")
+def repaired_names(s, d):
+    t = literal(s, [("x", _ESCAPED), ("y", "plain"), ("z", None)], "id string, text string")
+    return t.select("id", F.replace(netlist.repair_names("text"), F.lit("\n"), F.lit("|")).alias("text"))

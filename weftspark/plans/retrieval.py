@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftspark.operators import graph, retrieve, router
+from weftspark.operators import graph, retrieve, router, search
 from weftspark.plans import registry
 from weftspark.plans.base import literal, query, values
 from weftspark.util import cut, table
@@ -143,3 +143,25 @@ def retrieve_answers(s, d):
     docs = table(s, d, "documents").select("doc_id", "text", F.col("source").alias("source_file"))
     r = retrieve.retrieve(table(s, d, "edabench").select("id", "query"), docs, cut(graph.labelled_edges(t)), graph.merge_nodes(t).select("id"))
     return r.select("qid", "task_category", F.round("confidence", 6).alias("confidence"), F.array_join("entities", ",").alias("entities"), F.array_join(F.transform("chunks", lambda c: c["did"].cast("string")), ",").alias("chunks"))
+
+
+@query(f"WITH {registry._dense(5)} SELECT qid, did AS vid, round(score, 4) AS similarity FROM v")
+def dense_similarity(s, d):
+    """Dense results as they are shown: 1 minus the distance, four places."""
+    e = table(s, d, "embeddings")
+    x = search.dense(e, e.where("vec_id % 50 = 0"), 5)
+    return x.select("qid", "vid", retrieve.shown_score(1 - F.col("score")).alias("similarity"))
+
+
+@query(f"WITH {registry._bm25(registry._BENCH_Q, 10, 'b').replace('FROM documents', 'FROM (SELECT * FROM documents WHERE content_type = ' + chr(39) + 'documentation' + chr(39) + ')')} SELECT qid, did, round(score, 6) AS score, rank FROM b")
+def bm25_filtered(s, d):
+    """A filter on the content type before the ranking: counts and lengths are those of the filtered documents."""
+    x = retrieve.candidates("sparse", table(s, d, "documents"), table(s, d, "edabench"), where=F.col("content_type") == "documentation")
+    return x.select("qid", "did", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def ivf_topk(s, d):
+    """Approximate dense search: an inverted file over all vectors."""
+    e = table(s, d, "embeddings")
+    return search.ivf(e, e.where("vec_id % 50 = 0")).select("qid", "vid", F.round("score", 6).alias("score"), "rank")

@@ -89,9 +89,8 @@ def chunk_report(s, d):
 
 @query()
 def chunk_all(s, d):
-    """Every file's chunks by the chunker of its type."""
-    c = table(s, d, "chunks").select(F.concat_ws("#", "chunk_id", F.md5("text")).alias("id"), "source_file", "text", "content_type").distinct()
-    return chunking.chunk_files(c.dropDuplicates(["id"]), "id", "source_file", "text", "content_type")
+    """Every file's chunks by the chunker of its type, and those of all forum pairs."""
+    return chunking.chunk_corpus(table(s, d, "chunks"), table(s, d, "qa_raw"), "source_file", "text", "content_type", "qa_id", "question", "evidence_span", "answer")
 
 
 @query("SELECT chunks, over, incomplete, 100.0 * over / greatest(chunks, 1) AS over_pct, (100.0 * over / greatest(chunks, 1) < 15.0 AND incomplete = 0) AS passed FROM (SELECT count(*) AS chunks, count_if(token_count > 512) AS over, count_if(chunk_id IS NULL OR source_file IS NULL OR text IS NULL) AS incomplete FROM chunks)")
@@ -219,6 +218,13 @@ def cross_validation(s, d):
     return evaluate.cross_validation(m, "m").select(F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
+@query("SELECT id, array_to_string(list_sort(list_filter(coalesce(expected_sources, []), lambda v: NOT list_contains(coalesce([source], []), v))), ';') AS missing, CASE WHEN source IS NULL OR list_contains(coalesce(expected_sources, []), source) THEN '' ELSE source END AS unexpected FROM (SELECT id, list_distinct(expected_sources) AS expected_sources, source FROM edabench)")
+def source_differences(s, d):
+    e = table(s, d, "edabench")
+    missing, unexpected = evaluate.set_differences(F.col("expected_sources"), F.array_compact(F.array("source")))
+    return e.select("id", F.array_join(missing, ";").alias("missing"), F.array_join(unexpected, ";").alias("unexpected"))
+
+
 @query("SELECT id, CASE WHEN bad OR length(trim(query)) = 0 OR query IS NULL OR length(query) > 500 THEN NULL ELSE trim(query) END AS query, least(greatest(k, 1), 10) AS k, ip FROM " + values([("a", " why? ", 0, "9.9.9.9", False), ("b", "   ", 5, "1.1.1.1", False), ("c", None, 11, "7.7.7.7", False), ("d", "x" * 501, 10, "8.8.8.8", False)], "id, query, k, ip, bad"))
 def valid_queries(s, d):
     """Query, size and caller of requests: blank and long queries are none, sizes lie in 1 to 10, the caller is the real address, else the first forwarded one, else the host."""
