@@ -141,6 +141,8 @@ def _dense_block(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, m = shared.value
+        if not qids:
+            return
         kept = [(np.empty(0), np.empty(0, dtype=object))] * len(qids)
         for pdf in it:
             for lo in range(0, len(pdf), 2_000):
