@@ -129,6 +129,6 @@ def agreement(triples: DataFrame, elected: DataFrame) -> DataFrame:
     for f, row in (("confidence", "record"), ("source_span", "source_span"), ("properties", "properties")):
         own = p.where(F.col("field") == row).join(triples.select("triple_id", F.trim(_claimed(triples, f)).alias("own")), "triple_id").select("group_id", "own")
         j = own.join(elected.where(F.col("field") == f).select("group_id", F.trim("value").alias("value")), "group_id").where("own is not null")
-        n = j.agg(F.lit(f).alias("field"), F.count("*").alias("groups"), F.count_if("own != value").alias("differ"))
+        n = j.agg(F.lit(f).alias("field"), F.count("*").alias("groups"), F.count_if(F.expr("own != value")).alias("differ"))
         out = n if out is None else out.unionByName(n)
     return out
