@@ -31,7 +31,8 @@ def encoder(path: str = TOKENIZER):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: enc.encode_ordinary_batch(texts, num_threads=1)
+        # one call per text: the batch call hands texts to threads of its own and takes half as much time again
+        return lambda texts: [enc.encode_ordinary(t) for t in texts]
     if path.endswith(".model"):
         import sentencepiece
 
