@@ -454,3 +454,28 @@ def test_large_lexicon_is_joined(spark, monkeypatch):
     want = rows(pii.find_places(d, g, "k"))
     monkeypatch.setattr(pii, "MAX_NAMES", 1)
     assert rows(pii.find_places(d, g, "k")) == want and len(want) == 24
+
+
+def test_joined_lexicon_finds_the_same_in_odd_texts(spark, monkeypatch):
+    odd = ["It is Jane Smith's report", "It is Jane Smith’s report", "Smith, Jane- said", "Smith Karl--who", "Brisa van der Talm's book", "Jane Jones' car", "担当は佐藤美咲です", "田中美咲さんと山田 太郎", "Smith" + " " * 44 + "Janet", "Smith Jane\u0301"]
+    plain = ["by Karl Smith, Anna Jones", "by Jane Smith, Karl Jones", "Anna van der Talm met Karl van der Talm"]
+    d = spark.createDataFrame(list(enumerate(odd + plain)), "doc_id long, text string")
+    g = spark.createDataFrame([(x,) for x in ("Jane", "Karl", "Anna", "Brisa", "美咲", "太郎")], "given_name string")
+    want = rows(pii.find_places(d, g, "k"))
+    monkeypatch.setattr(pii, "MAX_NAMES", 0)
+    assert rows(pii.find_places(d, g, "k")) == want and len(want) == 17
+
+
+def test_names_that_a_text_may_hold():
+    given = ["jane", "ana-lirio", "jürg", "josé", "美咲", "さくら", "o'neil"]
+    family = ["smith", "smit", "smith-", "smith's", "o'brisk", "van der smeel", "smeel", "de la cruz", "murenzi-lott", "murenzi", "davis", "rose", "strauss", "i\u0307nan"]
+    pieces = [*"Jane JANE Ana-Lirio Jürg José Jose\u0301 O’Neil 美咲 さくら 佐藤 田 Smith SMITH O'Brisk O’Brisk Van der Smeel de la Cruz Murenzi-Lott davis Rose Strauß STRAUSS I\u0307nan J. ' ’s - -- \u0301 , ・ . _ 1 @ は Janet".split(" "), "van der Smeel", "De La Cruz", "\n", "\u00a0", "\u3000", " " * 44]
+    rng, places = random.Random(3), 0
+    for _ in range(20000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randint(2, 8)))
+        g, f = rng.sample(given, rng.randint(1, len(given))), rng.sample(family, rng.randint(1, len(family)))
+        keys = pii.Finder.keys(text, max(map(len, g + f)))
+        got = pii.Finder(g, f).find(text)
+        assert pii.Finder(keys & {*g}, keys & {*f}).find(text) == got, text
+        places += len(got)
+    assert places > 500 and len(pii.Finder.keys("A" + "'" * 100000, 30)) == 30

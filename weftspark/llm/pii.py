@@ -127,13 +127,50 @@ def lexicon(documents: DataFrame, given_names: DataFrame, text: str = "text") ->
     return cut(listed.select(F.col("g").alias("n")).unionByName(new.select(F.col("a").alias("n"))).select(_folded("n").alias("name")).distinct()), cut(family.select(_folded("f").alias("name")).distinct())
 
 
+def _lowered(text: str) -> str:
+    """In lower case, each character at its place."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low.replace("’", "'")
+
+
+def _stands(text: str, low: str, s: int, e: int) -> bool:
+    """Whether low[s:e] may be a family name, by its neighbours and its first letter."""
+    if (s and (low[s - 1].isalnum() or low[s - 1] in "_@-'" or (low[s - 1] == "." and s > 1 and low[s - 2].isalnum() and not (text[s - 2].isupper() and (s < 3 or not low[s - 3].isalnum()))))) or (e < len(low) and (low[e].isalnum() or low[e] in "_@-")):
+        return False
+    return text[s].isupper() or low.startswith(PARTICLES, s)
+
+
+# what a family name of lexicon() is made of: letters, marks that fold() makes of them, apostrophes, hyphens; before it two particles or none
+_MARKS = "\u0300-\u036f\u05b0-\u05c7\u093c\u09bc\u0a3c\u0b3c\u0f90-\u0fbc"
+_FAMILY = re.compile(rf"[^\W\d_](?:[^\W\d_]|['{_MARKS}-])*")
+# these look back from the first letter, so that the scan stops at few; a lower-case one may begin a particle
+_STARTS = re.compile(rf"[^\W\d_a-ce-km-uw-z](?<![\w@'’-].)(?:(?<![dlv])|(?=[aeioAEIO]))(?:[^\W\d_]|['’{_MARKS}-])*")
+_TOKENS = re.compile(rf"(?={_CAP})(?<![\w'’.-]){_NAME_TOKEN}")
+_TWO_PARTICLES = re.compile(r"(?:van|von|de) (?:der|den|la) ")
+_FIRST = {"van", "von", "de"}
+_MARK, _INNER_END, _KANJI = re.compile(f"[{_MARKS}]"), re.compile(f"['{_MARKS}]"), re.compile("[一-鿿々]+")
+_PLAIN = re.compile("[一-鿿々ぁ-んァ-ヶー]{2,}")
+
+
+def _ends(low: str, s: int, longest: int) -> Iterator[int]:
+    """Where a family name of at most so many characters may end that begins at s."""
+    two = _TWO_PARTICLES.match(low, s)
+    for start in (s, two.end()) if two else (s,):
+        if m := _FAMILY.match(low, start, s + longest + 1):
+            yield from (x.start() for x in _INNER_END.finditer(low, s + 1, m.end()))
+            if m.end() - s <= longest:
+                yield m.end()
+
+
 class Finder:
     """Finds places in texts. Built once per worker from the lexicon."""
 
     def __init__(self, given: Iterable[str], family: Iterable[str]) -> None:
         self.given = set(given)
         # scripts without case: a family name of up to three characters before a listed given name
-        plain = sorted((g for g in self.given if re.fullmatch("[一-鿿々ぁ-んァ-ヶー]{2,}", g)), key=lambda g: (-len(g), g))
+        plain = sorted((g for g in self.given if _PLAIN.fullmatch(g)), key=lambda g: (-len(g), g))
         self.plain = re.compile(rf"(?<![一-鿿々])[一-鿿々]{{1,3}}[ \u3000・]?(?:{'|'.join(plain)})(?![一-鿿々])") if plain else None
         self.auto = ahocorasick.Automaton()
         for f in family:
@@ -146,23 +183,45 @@ class Finder:
     _initial = re.compile(rf"(?<![\w'’.-]){_INITIAL}(?:[  ]?{_INITIAL})*[ \t ]*(?:\r?\n[ \t]*)?$")
     _right = re.compile(rf"(?P<c>,)?[ \t ]+(?:(?P<i>{_INITIAL})|(?P<g>{_NAME_TOKEN})(?:[ \t ]+(?P<m>{_INITIAL}))?)(?![\w])")
 
+    @classmethod
+    def _after(cls, text: str, e: int) -> re.Match | None:
+        return cls._right.match(text, e, min(len(text), e + 48))
+
+    @classmethod
+    def keys(cls, text: str, longest: int) -> set[str]:
+        """Every name of at most so many characters that names() could use in this text, whichever lexicon it has.
+
+        With the names of a lexicon that are among them a finder finds what it finds with the whole lexicon.
+        """
+        out: set[str] = set()
+        for run in _KANJI.finditer(text):
+            for at in range(run.start() + 1, min(run.start() + 3, run.end()) + 1):
+                for s in (at, at + 1) if text[at : at + 1] in (" ", "\u3000", "・") else (at,):
+                    if m := _PLAIN.match(text, s, s + longest):
+                        out.update(text[s:e] for e in range(s + 2, m.end() + 1) if not _KANJI.match(text, e))
+        low = _lowered(text)
+        for word in _STARTS.finditer(text):
+            s, to = word.span()
+            if word[0].isalpha() and low[s:to] not in _FIRST:
+                spans = [(s, to)] if to - s <= longest else []
+            else:
+                spans = {(i, e) for i in (s, *(m.end() for m in _MARK.finditer(text, s, to))) for e in _ends(low, i, longest)}
+            for i, e in spans:
+                if _stands(text, low, i, e):
+                    out.add(low[i:e])
+                    # a given name behind may be cut by the window; all others are whole tokens
+                    if (m := cls._after(text, e)) and m["g"]:
+                        out.add(fold(m["g"]))
+        out.update(map(fold, _TOKENS.findall(text)))
+        return {name for name in out if len(name) <= longest}
+
     def names(self, text: str) -> Iterator[tuple[int, int]]:
         if self.plain:
             yield from ((m.start(), m.end()) for m in self.plain.finditer(text))
         if not self.ready:
             return
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        low = low.replace("’", "'")
-        hits: list[tuple[int, int]] = []
-        for end, n in self.auto.iter(low):
-            s, e = end + 1 - n, end + 1
-            if (s and (low[s - 1].isalnum() or low[s - 1] in "_@-'" or (low[s - 1] == "." and s > 1 and low[s - 2].isalnum() and not (text[s - 2].isupper() and (s < 3 or not low[s - 3].isalnum()))))) or (e < len(low) and (low[e].isalnum() or low[e] in "_@-")):
-                continue
-            if not (text[s].isupper() or low.startswith(PARTICLES, s)):
-                continue
-            hits.append((s, e))
+        low = _lowered(text)
+        hits = [(end + 1 - n, end + 1) for end, n in self.auto.iter(low) if _stands(text, low, end + 1 - n, end + 1)]
         last = -1
         for s, e in sorted(hits, key=lambda h: (h[0], -h[1])):
             if s < last:
@@ -176,7 +235,7 @@ class Finder:
                 yield (m.start(), e)
                 last = e
                 continue
-            m = self._right.match(text, e, min(len(text), e + 48))
+            m = self._after(text, e)
             if m and ((m["g"] and fold(m["g"]) in self.given) or (m["i"] and m["c"])):
                 end = m.end()
                 yield (s0, end)
@@ -454,7 +513,6 @@ def placeholder(kind: str, entity: str, key: bytes) -> str:
 # --- operators ----------------------------------------------------------------------------------------------------
 
 _SPAN = "array<struct<kind:string,start_pos:int,end_pos:int,value:string,entity:string,words:array<string>>>"
-_NAMES = T.ArrayType(T.StringType())
 
 
 def _spans(finder: Finder, text: str | None) -> list[tuple]:
@@ -464,21 +522,11 @@ def _spans(finder: Finder, text: str | None) -> list[tuple]:
     return [(k, s, e, text[s:e], n, parts(text[s:e])[0] if k == "name" else [normal(k, text[s:e])]) for (s, e, k), n in zip(found, entities(found, text), strict=True)]
 
 
-@F.pandas_udf(_NAMES)
-def _candidates(text: pd.Series) -> pd.Series:
-    """All words of a text, and words with two particles before them, as the lexicon would have them."""
-    def of(t: str) -> list[str]:
-        w = re.findall(r"[^\W\d_][\w'-]*", fold(t))
-        return list({*w, *(f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:], strict=False) if a in _LITTLE and b in _LITTLE)})
-
-    return text.map(of)
-
-
 def places(documents: DataFrame, given_names: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, h, kind, start_pos, end_pos, value, entity, words) of every place; h is a hash of the text.
 
-    A lexicon of at most MAX_NAMES names goes to the workers whole. A larger one is joined to the distinct words of the texts,
-    so that each text comes with the names it may hold: nothing is left out.
+    A lexicon of at most MAX_NAMES names goes to the workers whole. A larger one is joined to all names that each text could
+    hold (Finder.keys), so that it comes with those of the lexicon: the places are the same either way.
     """
     given, family = lexicon(documents, given_names, text)
     docs = spread(documents.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t")))
@@ -496,15 +544,22 @@ def places(documents: DataFrame, given_names: DataFrame, id_col: str, text: str)
         got = docs.select("id", F.xxhash64("t").alias("h"), find.asNondeterministic()("t").alias("p"))
     else:
         docs = docs.withColumn("h", F.xxhash64("t"))
-        words = docs.select("h", F.explode(_candidates.asNondeterministic()("t")).alias("name")).distinct()
-        sets = [words.join(x, "name").groupBy("h").agg(F.collect_set("name").alias(n)) for n, x in (("g", given), ("f", family))]
+        longest = given.unionAll(family).agg(F.max(F.length("name"))).first()[0] or 0
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def keys(text: pd.Series) -> pd.Series:
+            return text.map(lambda t: list(Finder.keys(t, longest)))
+
+        words = docs.select("h", F.explode(keys.asNondeterministic()("t")).alias("name"))
+        names = given.select("name", F.lit(True).alias("is_given")).unionByName(family.select("name", F.lit(False).alias("is_given")))
+        held = words.join(names, "name").groupBy("h").agg(F.collect_set(F.when(F.col("is_given"), F.col("name"))).alias("g"), F.collect_set(F.when(~F.col("is_given"), F.col("name"))).alias("f"))
 
         @F.pandas_udf(_SPAN)
         def find_among(t: pd.Series, g: pd.Series, f: pd.Series) -> pd.Series:
             some = lambda x: [] if x is None else list(x)
             return pd.Series([_spans(Finder(some(b), some(c)), a) for a, b, c in zip(t, g, f, strict=True)], dtype=object)
 
-        got = docs.join(sets[0], "h", "left").join(sets[1], "h", "left").select("id", "h", find_among.asNondeterministic()("t", "g", "f").alias("p"))
+        got = docs.join(held, "h", "left").select("id", "h", find_among.asNondeterministic()("t", "g", "f").alias("p"))
     return got.select("id", "h", F.explode("p").alias("p")).select("id", "h", "p.*")
 
 
