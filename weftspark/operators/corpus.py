@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.operators import sets
 from weftspark.util import cut, maybe_broadcast, spread
 
 # fixed values: content types by file extension
@@ -65,28 +66,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     classes: (id, rep): rep is the smallest id of the documents with the same shingle set, which need no pair of their own.
     links: (a, b, inter, uni), a < b, of all pairs of representatives with Jaccard similarity at least the threshold.
-    Prefix filter: shingles are ordered from the rarest on, and two sets that similar share one of their first
-    |s| - ceil(threshold * |s|) + 1; frequent shingles are in prefixes only where a text has no others.
+    Prefix filter: shingles are ordered from the rarest on, as counts of hash buckets tell them, and two sets that similar share one of their first
+    |s| - ceil(threshold * |s|) + 1. Only prefixes are stored and joined; sets are made once more for texts that stand in a pair which shares enough in its prefixes.
     """
-    w = spread(docs.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_t"))).select("id", words(F.col("_t")).alias("w"))
-    s = w.select("id", F.transform(shingles(F.col("w"), n), lambda x: F.xxhash64(x)).alias("s"))
-    # filtered once it is stored: a filter on size(s) would be pushed below the projections and compute s at every position anew
-    s = cut(s.withColumn("s", F.array_sort("s"))).where(F.size("s") > 0).withColumn("key", F.md5(F.array_join("s", ",")))
-    reps = s.groupBy("key").agg(F.min("id").alias("rep"))
-    classes = s.join(reps, "key").select("id", "rep")
-    r = s.join(reps, "key").where("id = rep").select("id", F.explode("s").alias("g"), F.size("s").alias("n"))
-    df = r.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = r.join(df.where("df > 1"), "g")
-    sets = cut(ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x")))
-    # shingles that only one text has can't be shared; they count in n and fill the head of the prefix
-    p = sets.select("id", "n", F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("x")), "x").toDF("id", "n", "take", "x").where("take > 0")
-    p = p.select("id", "n", F.explode(F.transform(F.slice("x", 1, F.col("take").cast("int")), lambda e: e["g"])).alias("g"))
-    a, b = p.toDF("a", "na", "g"), p.toDF("b", "nb", "g")
-    cand = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b", "na", "nb").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.transform("x", lambda e: e["g"]).alias("xa")), sets.select(F.col("id").alias("b"), F.transform("x", lambda e: e["g"]).alias("xb"))
-    v = cand.join(left, "a").join(right, "b").withColumn("inter", F.size(F.array_intersect("xa", "xb")))
+    t = docs.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_t"))
+    hashed = lambda d: sets.word_hashes(d.select("id", F.array_remove(F.split(F.lower("_t"), r"\s+"), "").alias("w")))
+    h = hashed(spread(t))
+    p = cut(sets.prefixes(h, n, threshold, sets.bucket_levels(h, n)))
+    reps = p.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
+    classes = p.select("id", "k1", "k2", "n").join(reps, ["k1", "k2", "n"]).select("id", "rep")
+    r = p.join(maybe_broadcast(classes.where("id != rep").select("id")), "id", "left_anti").select("id", "n", "last", F.explode("prefix").alias("g"))
+    a, b = r.toDF("a", "na", "la", "g"), r.toDF("b", "nb", "lb", "g")
+    both = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("c"))
+    # what the text whose prefix ends first shares there is all in c, so they share at most c and its rest
+    rest = lambda m: F.ceil(F.lit(threshold) * F.col(m) - 1e-9) - 1
+    most = F.col("c") + F.when(F.col("la") < F.col("lb"), rest("na")).when(F.col("la") > F.col("lb"), rest("nb")).otherwise(F.greatest(rest("na"), rest("nb")))
+    cand = cut(both.where((1 + threshold) * most >= threshold * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b", "na", "nb").distinct())
+    ids = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    x = sets.whole(hashed(t.join(maybe_broadcast(ids), "id", "left_semi")), n)
+    v = cand.join(x.toDF("a", "xa"), "a").join(x.toDF("b", "xb"), "b").withColumn("inter", F.size(F.array_intersect("xa", "xb")))
     links = v.select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni")).where(F.col("inter") >= threshold * F.col("uni") - 1e-9)
-    return classes, links
+    return classes, links.distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
